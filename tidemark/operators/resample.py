@@ -30,6 +30,7 @@ def resample(
     aggs: Mapping[str, Column],
     empty: Mapping[str, float] | None = None,
     out: str = "bucket",
+    fill_gaps: bool = True,
 ) -> DataFrame:
     """Aggregate per series and calendar bucket, with rows for empty buckets.
 
@@ -40,6 +41,8 @@ def resample(
     grouped = df.groupBy(*keys, bucket(ts, unit).alias(out)).agg(
         *[c.alias(name) for name, c in aggs.items()]
     )
+    if not fill_gaps:
+        return grouped
     frames = Frames(grouped, keys, [out], after=1)
     ahead = frames.df.withColumn("_next", F.lead(out).over(frames.order))
     ahead = frames.finish(ahead)

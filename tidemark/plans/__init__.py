@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("cleaning", "aggregation", "windowing")
+THEMES = ("cleaning", "aggregation", "windowing", "anomalies", "forecasting", "texts")
 
 
 def load() -> None:

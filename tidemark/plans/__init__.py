@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("cleaning", "aggregation", "windowing", "anomalies", "forecasting", "texts")
+THEMES = (
+    "cleaning",
+    "aggregation",
+    "windowing",
+    "anomalies",
+    "forecasting",
+    "texts",
+    "files",
+    "streams",
+)
 
 
 def load() -> None:

@@ -1,0 +1,76 @@
+"""Row windows that span micro-batches.
+
+Each batch is put behind the last rows of every series, kept in a small table in
+the shared folder, and then handled like a batch job by ``operators.ordering``.
+So one busy series is cut into chunks like anywhere else, order inside a batch is
+by the stated order and not by arrival, and a batch that runs again reads the same
+tail and writes the same result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.operators.ordering import Frames, match
+from tidemark.streaming.run import _start
+
+
+class TailWindows:
+    """Row windows of up to ``before`` earlier rows over a stream.
+
+    ``compute`` gets the new rows behind their tail, with a flag ``is_new``, and
+    returns the result rows; it should keep only rows with ``is_new``. Rows that
+    are not after the last seen row of their series are late: they are left out
+    and written to ``<out>/late``.
+    """
+
+    def __init__(
+        self,
+        keys: Sequence[str],
+        order: Sequence[str],
+        before: int,
+        schema: T.StructType,
+        compute: Callable[[DataFrame], DataFrame],
+        out: str,
+        state: str,
+    ) -> None:
+        self.keys, self.order, self.before = list(keys), list(order), before
+        self.schema, self.compute = schema, compute
+        self.out, self.state = out, state
+
+    def _slot(self, batch_id: int) -> str:
+        """Two folders in turn: a batch reads the other one, so it can be repeated."""
+        return f"{self.state}/slot={batch_id % 2}"
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        if batch_id == 0:
+            tail = spark.createDataFrame([], self.schema)
+        else:
+            tail = spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
+        last = tail.groupBy(*self.keys).agg(F.max(F.struct(*self.order)).alias("_last"))
+        marked = match(batch, last, self.keys, "left")
+        late = F.coalesce(F.struct(*self.order) <= F.col("_last"), F.lit(False))
+        fresh = marked.filter(~late).drop("_last").withColumn("is_new", F.lit(True))
+        rows = tail.withColumn("is_new", F.lit(False)).unionByName(fresh)
+
+        where = f"batch_id={batch_id}"
+        self.compute(rows).write.mode("overwrite").parquet(f"{self.out}/{where}")
+        marked.filter(late).drop("_last").write.mode("overwrite").parquet(
+            f"{self.out}/late/{where}"
+        )
+        frames = Frames(rows, self.keys, self.order, after=self.before)
+        ends = frames.df.withColumn("_end", F.lead(F.lit(1), self.before).over(frames.order))
+        ends = frames.finish(ends).filter("_end is null").select(*self.schema.names)
+        ends.write.mode("overwrite").parquet(self._slot(batch_id))
+        batch.unpersist()
+
+    def start(self, stream: DataFrame, checkpoint: str, every: str | None = None
+              ) -> StreamingQuery:
+        return _start(stream.writeStream.foreachBatch(self.process), checkpoint, every)

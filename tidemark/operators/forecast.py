@@ -123,48 +123,64 @@ def lag_table(
     return rows.na.drop(subset=[f"lag_{lags}"])
 
 
+def normal_sums(
+    terms: Sequence[Column], target: Column, weight: Column | None = None
+) -> dict[str, Column]:
+    """Aggregates that determine a linear fit: products of the terms and with the target."""
+    w = F.lit(1.0) if weight is None else weight
+    gram = [F.sum(w * a * b) for i, a in enumerate(terms) for b in terms[i:]]
+    return {
+        "gram": F.array(*gram),
+        "moments": F.array(*[F.sum(w * a * target) for a in terms]),
+        "square": F.sum(w * target * target),
+        "rows": F.count(F.lit(1)),
+    }
+
+
+def gram_matrix(upper: Sequence[float], size: int) -> np.ndarray:
+    """The symmetric matrix of a row-wise upper triangle."""
+    full = np.zeros((size, size))
+    full[np.triu_indices(size)] = upper
+    return full + np.triu(full, 1).T
+
+
 def least_squares(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str
+    df: DataFrame,
+    keys: Sequence[str],
+    features: Sequence[str],
+    target: str,
+    weight: str | None = None,
+    ridge: float = 0.0,
 ) -> DataFrame:
     """Linear model with intercept per series: ``weights`` (intercept first), ``rows``, ``sse``.
 
     The sums of products are plain aggregates (map-side combined, so a long series
     costs no more memory than a short one). Only the small systems are solved in
-    numpy, in batches of series.
+    numpy, in batches of series. ``ridge`` is added to the diagonal, but not for
+    the intercept.
     """
     terms = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    y = F.col(target).cast("double")
-    gram = [F.sum(a * b) for i, a in enumerate(terms) for b in terms[i:]]
-    moments = [F.sum(a * y) for a in terms]
-    rows = df.select(*keys, *dict.fromkeys([*features, target])).na.drop(
-        subset=[*features, target]
-    )
-    sums = rows.groupBy(*keys).agg(
-        F.array(*gram).alias("_gram"),
-        F.array(*moments).alias("_moments"),
-        F.sum(y * y).alias("_yy"),
-        F.count(F.lit(1)).alias("rows"),
-    )
+    used = [*features, target, *([weight] if weight else [])]
+    rows = df.select(*keys, *dict.fromkeys(used)).na.drop(subset=used)
+    sums = normal_sums(terms, F.col(target).cast("double"), F.col(weight) if weight else None)
+    table = rows.groupBy(*keys).agg(*[c.alias(f"_{name}") for name, c in sums.items()])
     size = len(terms)
-    upper = np.triu_indices(size)
+    penalty = np.diag([0.0] + [ridge] * len(features))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             weights, errors = [], []
-            for gram_row, moment, yy in zip(batch["_gram"], batch["_moments"], batch["_yy"]):
-                a = np.zeros((size, size))
-                a[upper] = gram_row
-                a = a + np.triu(a, 1).T
-                m = np.asarray(moment, dtype=float)
-                w = np.linalg.lstsq(a, m, rcond=None)[0]
+            for gram, moments, square in zip(batch["_gram"], batch["_moments"], batch["_square"]):
+                a = gram_matrix(gram, size)
+                m = np.asarray(moments, dtype=float)
+                w = np.linalg.lstsq(a + penalty, m, rcond=None)[0]
                 weights.append(w.tolist())
-                errors.append(float(max(yy - w @ m, 0.0)))
-            kept = batch.drop(columns=["_gram", "_moments", "_yy"])
-            yield kept.assign(weights=weights, sse=errors)
+                errors.append(float(max(square - 2 * w @ m + w @ a @ w, 0.0)))
+            yield batch[list(keys)].assign(rows=batch["_rows"], weights=weights, sse=errors)
 
-    schema = [f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*keys, "rows").schema]
-    return sums.select(*keys, "rows", "_gram", "_moments", "_yy").mapInPandas(
-        solve, ", ".join(f"{s}" for s in [*schema, "weights array<double>", "sse double"])
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*keys).schema]
+    return table.mapInPandas(
+        solve, ", ".join([*schema, "rows long", "weights array<double>", "sse double"])
     )
 
 

@@ -11,6 +11,7 @@ THEMES = (
     "anomalies",
     "forecasting",
     "texts",
+    "models",
     "files",
     "streams",
 )

@@ -50,6 +50,7 @@ class TailWindows:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
+        batch.count()  # fills the cache, which then knows its size
         if batch_id == 0:
             tail = spark.createDataFrame([], self.schema)
         else:

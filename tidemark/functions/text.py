@@ -64,11 +64,13 @@ def without(tokens: Column, stop: Sequence[str], ignore_case: bool = False) -> C
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by a space; empty for shorter arrays."""
-    last = F.size(tokens) - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
+    last = F.size(tokens) - n
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.transform(
+        starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)])
+    )
 
 
 def cleaned(text: Column) -> Column:

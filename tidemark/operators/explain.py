@@ -40,7 +40,11 @@ def perturbed(
     """
     if replacement not in ("total_mean", "noise"):
         raise ValueError(f"unknown replacement {replacement!r}")
-    rows = df.withColumn("_seed", F.xxhash64(id_column, F.lit(seed)))
+    # One row becomes many: spread the rows first, whatever files they came from.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(tasks, id_column).withColumn(
+        "_seed", F.xxhash64(id_column, F.lit(seed))
+    )
     rest = [c for c in df.columns if c != series]
 
     def draw(start: int, width: int, stream: int) -> np.ndarray:
@@ -49,27 +53,33 @@ def perturbed(
         base = _mixed(np.array([(start + stream) % 2**64], dtype=np.uint64))
         return _mixed(at + base).reshape(samples, width)
 
+    def variants(values: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        rank = draw(start, slices, 1).argsort(axis=1).argsort(axis=1)
+        off = 1 + draw(start, 1, 2) % np.uint64(slices)
+        off[0] = 0
+        mask = (rank >= off.astype(int)).astype(float)
+        width = -(-len(values) // slices)
+        kept = mask[:, np.arange(len(values)) // width] == 1.0
+        if replacement == "noise":
+            unit = draw(start, len(values), 3) / 2.0**64
+            fill = values.min() + (values.max() - values.min()) * unit
+        else:
+            fill = np.full((samples, len(values)), values.mean())
+        return mask, np.where(kept, values, fill)
+
     def vary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 8192 // samples)
         for batch in batches:
-            for row in batch.to_dict("records"):
-                values = np.asarray(row[series], dtype=float)
-                start = int(row["_seed"])
-                rank = draw(start, slices, 1).argsort(axis=1).argsort(axis=1)
-                off = 1 + draw(start, 1, 2) % np.uint64(slices)
-                off[0] = 0
-                mask = (rank >= off.astype(int)).astype(float)
-                width = -(-len(values) // slices)
-                kept = mask[:, np.arange(len(values)) // width] == 1.0
-                if replacement == "noise":
-                    unit = draw(start, len(values), 3) / 2.0**64
-                    fill = values.min() + (values.max() - values.min()) * unit
-                else:
-                    fill = np.full((samples, len(values)), values.mean())
-                out = pd.DataFrame({c: [row[c]] * samples for c in rest})
-                out["sample"] = np.arange(samples)
-                out["mask"] = list(mask)
-                out[series] = list(np.where(kept, values, fill))
-                yield out
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                masks, changed = [], []
+                for values, start in zip(part[series], part["_seed"]):
+                    mask, new = variants(np.asarray(values, dtype=float), int(start))
+                    masks.extend(mask)
+                    changed.extend(new)
+                out = {c: np.repeat(part[c].to_numpy(), samples) for c in rest}
+                out["sample"] = np.tile(np.arange(samples), len(part))
+                yield pd.DataFrame({**out, "mask": masks, series: changed})
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema]
     return rows.mapInPandas(

@@ -207,10 +207,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per series.
 
-    Equal values are counted first (map-side combined). The counts go into
-    ``percentile`` with frequencies, or, if a series has too many distinct values
-    for one buffer, into a range-sorted running count from which only the rows at
-    the wanted ranks are kept.
+    Equal values are counted first (map-side combined), then sorted with a running
+    count, and only the values at the wanted ranks are kept. Unlike the built-in
+    ``percentile`` this never builds a value table of a series in memory.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
     return quantiles_of_counts(counts, keys, value, "_freq", probs, names)
@@ -228,13 +227,11 @@ def quantiles_of_counts(
     counts = counts.filter(F.col(value).isNotNull()).select(
         *keys, value, F.col(freq).alias("_freq")
     )
-    if not has_hot_group(counts, keys):
-        qs = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_freq"))
-        out = counts.groupBy(*keys).agg(qs.alias("_q"))
-        return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
     ranked = running_total(counts, keys, [value], "_freq", "_before")
-    sized = attach(ranked, counts.groupBy(*keys).agg(F.sum("_freq").alias("_n")), keys)
+    if has_hot_group(counts, keys):
+        sized = attach(ranked, counts.groupBy(*keys).agg(F.sum("_freq").alias("_n")), keys)
+    else:
+        sized = ranked.withColumn("_n", F.sum("_freq").over(Window.partitionBy(*keys)))
     aggs = []
     for p, name in zip(probs, names, strict=True):
         spot = F.lit(float(p)) * (F.col("_n") - 1)

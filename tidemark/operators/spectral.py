@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -185,16 +185,21 @@ def spectrum(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> Da
     head = _key_schema(rows, keys)
     limit = rows_per_task(df.sparkSession)
 
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("pos")["x"].to_numpy()
-        size = np.abs(np.fft.rfft(x))
-        out = pd.DataFrame({"k": np.arange(len(size)), "n": len(x), "magnitude": size})
-        for name in reversed(keys):
-            out.insert(0, name, [part[name].iloc[0]] * len(out))
-        return out
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [np.abs(np.fft.rfft(np.asarray(x, dtype=float))) for x in batch["_x"]]
+            counts = [len(s) for s in sizes]
+            out = {name: np.repeat(batch[name].to_numpy(), counts) for name in keys}
+            out["k"] = np.concatenate([np.arange(c) for c in counts]) if counts else []
+            out["n"] = np.repeat(batch["_x"].map(len).to_numpy(), counts)
+            out["magnitude"] = np.concatenate(sizes) if sizes else []
+            yield pd.DataFrame(out)
 
     def short(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).applyInPandas(whole, head + "k long, n long, magnitude double")
+        """Series of bounded length, packed into one row each."""
+        packed = F.sort_array(F.collect_list(F.struct("pos", "x")))
+        series = part.groupBy(*keys).agg(F.transform(packed, lambda p: p["x"]).alias("_x"))
+        return series.mapInPandas(whole, head + "k long, n long, magnitude double")
 
     if not has_hot_group(present, keys):
         return short(rows)
@@ -242,35 +247,43 @@ def dickey_fuller(
     )
     size = len(terms)
 
-    def fit(part: pd.DataFrame, lags: int, least: int) -> tuple[float, float, int]:
+    def fit(sums: list[np.ndarray], lags: int, least: int) -> tuple[float, float, int]:
         """(statistic, AIC, rows) of the model with ``lags`` over rows with >= ``least``."""
-        part = part[part["_has"] >= least]
-        n = int(part["_rows"].sum())
-        k = 2 + lags
+        has, gram, moments, square, rows = sums
+        use = has >= least
+        n, k = int(rows[use].sum()), 2 + lags
         if n <= k:
             return math.nan, math.inf, n
-        gram = gram_matrix(np.sum(np.stack(part["_gram"].to_numpy()), axis=0), size)[:k, :k]
-        m = np.sum(np.stack(part["_moments"].to_numpy()), axis=0)[:k]
-        w = np.linalg.lstsq(gram, m, rcond=None)[0]
-        sse = max(float(part["_square"].sum() - w @ m), 0.0)
-        spread = np.linalg.pinv(gram)[1, 1] * sse / (n - k)
+        g = gram_matrix(gram[use].sum(axis=0), size)[:k, :k]
+        m = moments[use].sum(axis=0)[:k]
+        w = np.linalg.lstsq(g, m, rcond=None)[0]
+        sse = max(float(square[use].sum() - w @ m), 0.0)
+        spread = np.linalg.pinv(g)[1, 1] * sse / (n - k)
         stat = w[1] / math.sqrt(spread) if spread > 0 else math.nan
         aic = n * (math.log(2 * math.pi * sse / n) + 1) + 2 * k if sse > 0 else -math.inf
         return float(stat), aic, n
 
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        ranked = [(fit(part, lags, max_lags)[1], lags) for lags in range(max_lags + 1)]
-        lags = min(ranked)[1]
-        stat, _, n = fit(part, lags, lags)
-        out = {name: [part[name].iloc[0]] for name in keys}
-        out |= {"statistic": [stat], "p_value": [_p_value(stat) if stat == stat else math.nan],
-                "lags": [lags], "rows": [n]}
-        for level, terms_ in CRITICAL_VALUES.items():
-            out[f"critical_{level[:-1]}"] = [sum(c / n**i for i, c in enumerate(terms_))]
-        return pd.DataFrame(out)
+    def test(sums: list[np.ndarray]) -> dict[str, float]:
+        lags = min((fit(sums, i, max_lags)[1], i) for i in range(max_lags + 1))[1]
+        stat, _, n = fit(sums, lags, lags)
+        found = {"statistic": stat, "p_value": _p_value(stat) if stat == stat else math.nan,
+                 "lags": lags, "rows": n}
+        for level, surface in CRITICAL_VALUES.items():
+            found[f"critical_{level[:-1]}"] = sum(c / n**i for i, c in enumerate(surface))
+        return found
+
+    parts = ["_has", *[f"_{name}" for name in sums]]
+
+    def tests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(*[batch[c] for c in parts])
+            found = pd.DataFrame([test([np.stack(list(c)) for c in row]) for row in rows])
+            yield pd.concat([batch[keys].reset_index(drop=True), found], axis=1)
 
     schema = _key_schema(table, keys) + (
         "statistic double, p_value double, lags int, rows long,"
         " critical_1 double, critical_5 double, critical_10 double"
     )
-    return table.groupBy(*keys).applyInPandas(test, schema)
+    # At most max_lags + 1 rows of sums per series.
+    lists = [F.collect_list(c).alias(c) for c in parts]
+    return table.groupBy(*keys).agg(*lists).mapInPandas(tests, schema)

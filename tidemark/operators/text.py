@@ -18,8 +18,12 @@ MAX_SENT_WORDS = 1_000_000
 def count_tokens(
     df: DataFrame, tokens: Column, by: Sequence[str] = (), out: str = "word"
 ) -> DataFrame:
-    """Occurrences of each token. Counts are combined before the shuffle."""
-    exploded = df.select(*by, F.explode(tokens).alias(out))
+    """Occurrences of each token. Counts are combined before the shuffle.
+
+    The outer form of explode keeps Spark from adding a size filter below it, which
+    would build the token arrays a second time.
+    """
+    exploded = df.select(*by, F.explode_outer(tokens).alias(out)).filter(F.col(out).isNotNull())
     return exploded.groupBy(*by, out).agg(F.count(F.lit(1)).alias("n"))
 
 

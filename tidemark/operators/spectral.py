@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.forecast import gram_matrix, normal_sums
-from tidemark.operators.ordering import Frames, Order, has_hot_group, numbered
+from tidemark.operators.ordering import (
+    Frames,
+    Order,
+    attach,
+    has_hot_group,
+    match,
+    numbered,
+)
 from tidemark.session import rows_per_task
 
 DAYS_PER_YEAR = 365.2425
@@ -154,15 +161,13 @@ def _long_spectrum(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     b = _by_blocks(kernel, keys).select(
         *keys, "pos", F.col("re").alias("re2"), F.col("im").alias("im2")
     )
-    product = a.join(b, [*keys, "pos"]).select(
+    product = match(a, b, [*keys, "pos"], "inner").select(
         *keys, "pos", "n1", "n2",
         (F.col("re") * F.col("re2") - F.col("im") * F.col("im2")).alias("re"),
         (F.col("re") * F.col("im2") + F.col("im") * F.col("re2")).alias("im"),
     )
-    folded = _by_blocks(product, keys, inverse=True).join(
-        lengths.select(*keys, "n"), keys
-    ) if keys else _by_blocks(product, keys, inverse=True).withColumn(
-        "n", lengths.select("n").scalar()
+    folded = attach(
+        _by_blocks(product, keys, inverse=True), lengths.select(*keys, "n"), keys
     )
     # The final turn has length one, so it does not change the magnitude.
     size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / (F.col("n1") * F.col("n2"))

@@ -80,6 +80,18 @@ def test_spectrum(hot, plan):
         assert np.isclose(some[host, 3], want[3])
 
 
+def test_spectrum_one_series_at_a_time(spark, hot):
+    spark.conf.set("tidemark.smallPlanBytes", "0")
+    try:
+        out = spectral.spectrum(hot, KEYS, ORDER, "value", packed_rows=1)
+        got = {(r.host, r.k): r.magnitude for r in out.collect()}
+    finally:
+        spark.conf.unset("tidemark.smallPlanBytes")
+    for host, v in values(hot).items():
+        want = np.abs(np.fft.rfft(v))
+        assert np.allclose([got[host, k] for k in range(len(want))], want)
+
+
 @pytest.mark.parametrize("max_lags", [0, 3])
 def test_dickey_fuller(hot, plan, max_lags):
     found = {r.host: r for r in

@@ -56,6 +56,11 @@ def test_queue_of_batches(spark, places):
     }
 
 
+def test_socket_reader_is_a_stream_of_lines(spark):
+    stream = sources.socket_stream(spark, "localhost", 9)
+    assert stream.isStreaming and stream.columns == ["value"]
+
+
 def slices(spark):
     """Ten-minute means: rows of the third slice are late for the watermark."""
     at = dt.datetime(2021, 3, 1)

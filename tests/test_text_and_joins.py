@@ -101,7 +101,7 @@ def test_sequences_and_padding(docs):
     ids = {w: i for i, w in enumerate(ranked, 1)}
     index = text.word_index(docs, "text", 8)
     assert {r.word: r.id for r in index.collect()} == ids
-    rows = text.to_sequences(docs, index, "doc", "text", 8)
+    rows = text.to_sequences(docs, index, "doc", "text")
     got = {r.doc: r.ids for r in rows.collect()}
     padded = {r.doc: r.ids for r in text.pad(rows, "ids", 4).collect()}
     assert set(got) == {d for d, _ in DOCS}

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import match
@@ -146,19 +146,10 @@ def nearest_neighbours(
     found = tests.groupBy("tb", "rb").cogroup(trains.groupBy("tb", "rb")).applyInPandas(
         meet, schema
     )
-    # At most k rows per test row and block: the final choice stays small per test row.
-    best = found.groupBy("test_id").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct("distance2", "train_id", "train_label"))), 1, k
-        ).alias("best")
-    )
-    return best.select("test_id", F.posexplode("best").alias("place", "b")).select(
-        "test_id",
-        (F.col("place") + 1).alias("rank"),
-        F.col("b.train_id").alias("train_id"),
-        F.col("b.distance2").alias("distance2"),
-        F.col("b.train_label").alias("train_label"),
-    )
+    # Every input partition passes on at most k rows per test row.
+    ranked = Window.partitionBy("test_id").orderBy("distance2", "train_id")
+    best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    return best.select("test_id", "rank", "train_id", "distance2", "train_label")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ from tidemark.operators.ordering import (
     Frames,
     Order,
     attach,
-    has_hot_group,
+    largest_group,
     match,
     numbered,
 )
-from tidemark.session import rows_per_task
+from tidemark.session import is_small, rows_per_task
 
 DAYS_PER_YEAR = 365.2425
 
@@ -176,11 +176,14 @@ def _long_spectrum(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def spectrum(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> DataFrame:
+def spectrum(
+    df: DataFrame, keys: Sequence[str], order: Order, value: str, packed_rows: int = 4096
+) -> DataFrame:
     """Magnitude of every bin 0 .. n // 2 of the real Fourier transform of each series.
 
-    Series that fit into one task are transformed whole. Longer ones are
-    transformed in blocks.
+    Short series are packed into one row each and transformed many at a time.
+    Series that fit into one task are transformed one at a time, longer ones in
+    blocks.
     """
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
@@ -190,7 +193,9 @@ def spectrum(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> Da
     head = _key_schema(rows, keys)
     limit = rows_per_task(df.sparkSession)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = head + "k long, n long, magnitude double"
+
+    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = [np.abs(np.fft.rfft(np.asarray(x, dtype=float))) for x in batch["_x"]]
             counts = [len(s) for s in sizes]
@@ -200,17 +205,23 @@ def spectrum(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> Da
             out["magnitude"] = np.concatenate(sizes) if sizes else []
             yield pd.DataFrame(out)
 
-    def short(part: DataFrame) -> DataFrame:
-        """Series of bounded length, packed into one row each."""
-        packed = F.sort_array(F.collect_list(F.struct("pos", "x")))
-        series = part.groupBy(*keys).agg(F.transform(packed, lambda p: p["x"]).alias("_x"))
-        return series.mapInPandas(whole, head + "k long, n long, magnitude double")
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("pos")["x"].to_numpy()
+        size = np.abs(np.fft.rfft(x))
+        out = pd.DataFrame({"k": np.arange(len(size)), "n": len(x), "magnitude": size})
+        for name in reversed(keys):
+            out.insert(0, name, [part[name].iloc[0]] * len(out))
+        return out
 
-    if not has_hot_group(present, keys):
-        return short(rows)
-    return short(rows.filter(F.col("n") <= limit)).unionByName(
-        _long_spectrum(rows.filter(F.col("n") > limit), keys)
-    )
+    longest = 0 if is_small(present) else largest_group(present, keys)
+    if longest <= min(packed_rows, limit):
+        items = F.sort_array(F.collect_list(F.struct("pos", "x")))
+        series = rows.groupBy(*keys).agg(F.transform(items, lambda p: p["x"]).alias("_x"))
+        return series.mapInPandas(many, schema)
+    fitting = rows.filter(F.col("n") <= limit).groupBy(*keys).applyInPandas(one, schema)
+    if longest <= limit:
+        return fitting
+    return fitting.unionByName(_long_spectrum(rows.filter(F.col("n") > limit), keys))
 
 
 def _p_value(stat: float) -> float:

@@ -11,9 +11,6 @@ from tidemark.functions import text as fn
 from tidemark.operators.clean import fill_text
 from tidemark.operators.ordered import hashed_split
 
-# An index of at most this many words may be broadcast.
-MAX_SENT_WORDS = 1_000_000
-
 
 def count_tokens(
     df: DataFrame, tokens: Column, by: Sequence[str] = (), out: str = "word"
@@ -98,18 +95,16 @@ def word_index(df: DataFrame, text: str, num_words: int = 50_000) -> DataFrame:
 
 
 def to_sequences(
-    df: DataFrame,
-    index: DataFrame,
-    doc: str,
-    text: str,
-    num_words: int = 50_000,
-    out: str = "ids",
+    df: DataFrame, index: DataFrame, doc: str, text: str, out: str = "ids"
 ) -> DataFrame:
-    """Ids of the known words of each document, in text order; unknown words go."""
+    """Ids of the known words of each document, in text order; unknown words go.
+
+    Spark broadcasts the index while it is below its threshold; beyond that, AQE
+    splits the partitions of the very frequent words.
+    """
     tokens = df.select(doc, F.posexplode_outer(fn.separated_words(F.col(text))).alias("_at", "word"))
-    known = F.broadcast(index) if num_words <= MAX_SENT_WORDS else index
     spotted = F.when(F.col("id").isNotNull(), F.struct("_at", "id"))
-    found = tokens.join(known, "word", "left").groupBy(doc).agg(
+    found = tokens.join(index, "word", "left").groupBy(doc).agg(
         F.array_sort(F.collect_list(spotted)).alias("_found")
     )
     return found.select(doc, F.transform("_found", lambda s: s["id"]).alias(out))
@@ -131,5 +126,5 @@ def prepare(
     """Split, fill missing texts, index the training words, encode and pad all texts."""
     rows = hashed_split(fill_text(df, [text]), doc, share, seed)
     index = word_index(rows.filter("split = 'train'"), text, num_words)
-    ids = pad(to_sequences(rows, index, doc, text, num_words), "ids", length)
+    ids = pad(to_sequences(rows, index, doc, text), "ids", length)
     return ids.join(rows.select(doc, "split"), doc)

@@ -34,9 +34,13 @@ def hourly_sum(t: Tables) -> DataFrame:
 
 
 def _orders_sql(unit: str) -> str:
-    return f"""SELECT o_orderpriority, date_trunc('{unit}', o_orderdate)::TIMESTAMP AS bucket,
-        {r("avg(o_totalprice)", 7)} AS mean_price, {r("sum(o_totalprice)", 2)} AS total
-        FROM orders GROUP BY ALL"""
+    return f"""WITH b AS (SELECT o_orderpriority, date_trunc('{unit}', o_orderdate)::TIMESTAMP
+            AS bucket, avg(o_totalprice) AS m, sum(o_totalprice) AS s FROM orders GROUP BY ALL),
+    s AS (SELECT o_orderpriority, unnest(generate_series(min(bucket), max(bucket),
+        INTERVAL 1 {unit})) AS bucket FROM b GROUP BY o_orderpriority)
+    SELECT s.o_orderpriority, s.bucket, {r("b.m", 7)} AS mean_price,
+        {r("coalesce(b.s, 0)", 2)} AS total FROM s LEFT JOIN b
+        ON b.o_orderpriority = s.o_orderpriority AND b.bucket = s.bucket"""
 
 
 def _orders(t: Tables, unit: str) -> DataFrame:

@@ -51,7 +51,7 @@ def hampel_filter(t: Tables) -> DataFrame:
     return _hampel(anomaly.hampel(series(t), BY_USER, IN_TIME, "value", 10))
 
 
-@query("hampel_filter_rolling", "N2", f"WITH {_hampel_sql(last=True)} {_HAMPEL_OUT}")
+@query("hampel_filter_rolling", "N2 U5", f"WITH {_hampel_sql(last=True)} {_HAMPEL_OUT}")
 def hampel_filter_rolling(t: Tables) -> DataFrame:
     return _hampel(anomaly.hampel(series(t), BY_USER, IN_TIME, "value", 10, include_last=True))
 

@@ -81,7 +81,7 @@ def stream_word_count_per_batch(t: Tables) -> DataFrame:
 
 @query(
     "stream_keyed_count_per_batch",
-    "R3 S7 A12",
+    "R3 R2 R5 S7 A12",
     """SELECT l_linenumber % 2 AS batch_id, l_partkey % 10 AS remainder, count(*) AS n
        FROM lineitem GROUP BY ALL""",
 )
@@ -92,9 +92,14 @@ def stream_keyed_count_per_batch(t: Tables) -> DataFrame:
 
     def start() -> StreamingQuery:
         stream = sources.batch_stream(t.spark, arrivals, rows.schema, files_per_batch=None)
-        return run.start_per_batch(
-            stream, lambda b: profile.count_by_remainder(b, "l_partkey"), out, checkpoint
+        running = run.start_per_batch(
+            stream,
+            lambda b: profile.count_by_remainder(b, "l_partkey"),
+            out,
+            checkpoint,
+            every="1 second",
         )
+        return run.drain(running)
 
     replay(slices, arrivals, start)
     out_rows = run.batches(t.spark, out, "remainder long, n long")

@@ -173,7 +173,7 @@ _SEQ = f"""{_INDEX}, w AS (SELECT doc_id, {separated_sql('text')} AS k FROM docu
 )
 def text_to_ids(t: Tables) -> DataFrame:
     index = text.word_index(t.documents, "text", 500)
-    rows = text.to_sequences(t.documents, index, "doc_id", "text", 500)
+    rows = text.to_sequences(t.documents, index, "doc_id", "text")
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
 
@@ -186,7 +186,7 @@ _PADDED = f"""WITH {_SEQ}, p AS (SELECT doc_id, unnest(range(100)) AS pos FROM d
 def padded_ids(t: Tables) -> DataFrame:
     docs = text.fill_text(t.documents.select("doc_id", "text"), ["text"])
     index = text.word_index(docs, "text", 500)
-    rows = text.pad(text.to_sequences(docs, index, "doc_id", "text", 500), "ids", 100)
+    rows = text.pad(text.to_sequences(docs, index, "doc_id", "text"), "ids", 100)
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
 

@@ -27,17 +27,30 @@ from tidemark.session import checkpointed, is_small, rows_per_task
 Order = Sequence[str | Column]
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group; one partial aggregation over the keys."""
+def _group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(largest group, all rows); one partial aggregation over the keys."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    row = counts.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
+    return row["top"] or 0, row["total"] or 0
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True if a group is too long for one task. Small inputs are not counted."""
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    return _group_sizes(df, keys)[0]
+
+
+def hot_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """0 if every group fits into one task, else the row count of the table.
+
+    Small inputs are not counted.
+    """
     if is_small(df):
-        return False
-    return largest_group(df, keys) > rows_per_task(df.sparkSession)
+        return 0
+    top, total = _group_sizes(df, keys)
+    return total if top > rows_per_task(df.sparkSession) else 0
+
+
+def has_hot_group(df: DataFrame, keys: Sequence[str]) -> bool:
+    return hot_rows(df, keys) > 0
 
 
 def match(
@@ -52,7 +65,9 @@ def match(
     return left.join(right, cond, how).drop(*renamed.values())
 
 
-def _range_sorted(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
+def _range_sorted(
+    df: DataFrame, keys: Sequence[str], order: Order, total: int
+) -> DataFrame:
     """Rows sorted by (keys, order) over balanced partitions, with a fixed row id.
 
     ``_rid`` is partition number * 2^33 + row number in the partition. Range
@@ -60,7 +75,6 @@ def _range_sorted(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame
     not draw other bounds.
     """
     spark = df.sparkSession
-    total = df.count()
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         math.ceil(total / rows_per_task(spark)),
@@ -75,18 +89,27 @@ def _range_sorted(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Order, weight: str | None = None, col: str = "before"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Order,
+    weight: str | None = None,
+    col: str = "before",
+    hot: int | None = None,
 ) -> DataFrame:
-    """Add ``col``: the sum of ``weight`` (or the count) over the rows ahead of each row."""
+    """Add ``col``: the sum of ``weight`` (or the count) over the rows ahead of each row.
+
+    ``hot`` is the answer of ``hot_rows``, if the caller already has it.
+    """
+    hot = hot_rows(df, keys) if hot is None else hot
     amount = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    if not has_hot_group(df, keys):
+    if not hot:
         w = Window.partitionBy(*keys).orderBy(*order)
         if weight is None:
             return df.withColumn(col, F.row_number().over(w).cast("long") - 1)
         ahead = w.rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(col, F.coalesce(F.sum(amount).over(ahead), F.lit(0).cast("long")))
 
-    rows = _range_sorted(df, keys, order)
+    rows = _range_sorted(df, keys, order, hot)
     runs = rows.groupBy("_pid", *keys).agg(
         F.min("_rid").alias("_first"), F.sum(amount).alias("_amount")
     )
@@ -117,13 +140,13 @@ def numbered(
     length: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, and the series length."""
+    hot = hot_rows(df, keys)
+    rows = running_total(df, keys, order, None, col, hot)
     if length is None:
-        return running_total(df, keys, order, None, col)
-    if not has_hot_group(df, keys):
-        series = Window.partitionBy(*keys)
-        return df.withColumn(col, F.row_number().over(series.orderBy(*order)).cast("long") - 1) \
-            .withColumn(length, F.count(F.lit(1)).over(series))
-    return attach(running_total(df, keys, order, None, col), series_length(df, keys, length), keys)
+        return rows
+    if hot:
+        return attach(rows, series_length(df, keys, length), keys)
+    return rows.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
 def series_length(df: DataFrame, keys: Sequence[str], col: str = "n") -> DataFrame:
@@ -166,7 +189,8 @@ class Frames:
         if before < 0 or after < 0:
             raise ValueError("before and after must not be negative")
         self.before, self.after = before, after
-        self._chunked = has_hot_group(df, keys)
+        hot = hot_rows(df, keys)
+        self._chunked = hot > 0
         self._helpers: list[str] = []
         if not self._chunked:
             self.order = Window.partitionBy(*keys).orderBy(*order)
@@ -177,7 +201,7 @@ class Frames:
         size = max(rows_per_task(df.sparkSession), before + after, 1)
         pos = position or "_pos"
         self._helpers = ["_chunk", "_home"] + ([] if position else ["_pos"])
-        rows = numbered(df, keys, order, pos)
+        rows = running_total(df, keys, order, None, pos, hot)
         home = F.floor(F.col(pos) / size)
         low = F.greatest(F.floor((F.col(pos) - after) / size), F.lit(0))
         high = F.floor((F.col(pos) + before) / size)
@@ -227,8 +251,9 @@ def quantiles_of_counts(
     counts = counts.filter(F.col(value).isNotNull()).select(
         *keys, value, F.col(freq).alias("_freq")
     )
-    ranked = running_total(counts, keys, [value], "_freq", "_before")
-    if has_hot_group(counts, keys):
+    hot = hot_rows(counts, keys)
+    ranked = running_total(counts, keys, [value], "_freq", "_before", hot)
+    if hot:
         sized = attach(ranked, counts.groupBy(*keys).agg(F.sum("_freq").alias("_n")), keys)
     else:
         sized = ranked.withColumn("_n", F.sum("_freq").over(Window.partitionBy(*keys)))

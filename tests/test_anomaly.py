@@ -35,6 +35,22 @@ def test_hampel_is_the_loop(hot, plan, last, w):
             assert np.isclose(cleaned, np.median(v[i - w : i + w]) if flag else v[i])
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_hampel_closed_on_both_sides(hot, plan, last):
+    found = by_series(
+        anomaly.hampel(hot, KEYS, ORDER, "value", 3, 1.0, include_last=last, closed="both"),
+        "is_outlier",
+    )
+    for host, v in values(hot).items():
+        want = []
+        for i in range(3, len(v) - 3):
+            part = np.array(v[i - 3 : i + 4])
+            m = np.median(part)
+            if abs(v[i] - m) > 1.4826 * np.median(np.abs(part - m)):
+                want.append(i)
+        assert [i for i, (f,) in enumerate(found[host]) if f] == want
+
+
 def test_hampel_with_nulls(hot, plan):
     df = hot.withColumn("value", F.when(F.col("id") % 7 != 3, F.col("value") ** 3))
     tolerant = by_series(

@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Columns of an earlier ``withColumn`` are put back into the expressions that use
+    them when Spark moves a filter down, inside lambdas even once per element. A
+    bound variable cannot be expanded like that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quantile_of_sorted(items: Column, p: float, how: str = "linear") -> Column:
     """Quantile ``p`` of an ascending array; null when it is empty.
 
@@ -32,6 +42,24 @@ def median_of_sorted(items: Column) -> Column:
     return (low + high) / 2
 
 
+def median_and_mad(items: Column) -> Column:
+    """Struct (median, mad): the deviations are taken from the items' own median."""
+
+    def spread(ordered: Column, middle: Column) -> Column:
+        gaps = F.sort_array(F.transform(ordered, lambda v: F.abs(v - middle)))
+        return let(gaps, median_of_sorted)
+
+    return let(
+        F.sort_array(items),
+        lambda ordered: let(
+            median_of_sorted(ordered),
+            lambda middle: F.struct(
+                middle.alias("median"), spread(ordered, middle).alias("mad")
+            ),
+        ),
+    )
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two equally long arrays."""
     gaps = F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double"))

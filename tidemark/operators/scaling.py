@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import median_of_sorted, quantile_of_sorted
+from tidemark.functions.arrays import let, median_of_sorted, quantile_of_sorted
 from tidemark.operators.ordering import Frames, Order, attach, exact_quantiles
 
 MODES = ("minmax", "robust", "standard")
@@ -146,14 +146,16 @@ def scale_in_window(
         rows = frames.finish(rows).withColumn("_m", F.col("_a"))
     elif mode == "robust":
         rows = frames.df.withColumns({"_items": F.collect_list(value).over(window), "_full": full})
-        rows = frames.finish(rows).withColumn("_items", F.sort_array("_items"))
-        rows = rows.withColumns(
-            {
-                "_a": quantile_of_sorted(F.col("_items"), 0.25),
-                "_m": median_of_sorted(F.col("_items")),
-                "_b": quantile_of_sorted(F.col("_items"), 0.75),
-            }
+        found = let(
+            F.sort_array("_items"),
+            lambda items: F.struct(
+                quantile_of_sorted(items, 0.25).alias("a"),
+                median_of_sorted(items).alias("m"),
+                quantile_of_sorted(items, 0.75).alias("b"),
+            ),
         )
+        rows = frames.finish(rows).withColumn("_q", found)
+        rows = rows.withColumns({f"_{c}": F.col(f"_q.{c}") for c in "amb"})
     else:
         raise ValueError(f"unknown window scaling mode {mode!r}")
     rows = rows.withColumns(
@@ -164,5 +166,5 @@ def scale_in_window(
         }
     )
     return rows.withColumn(f"{value}_scaled", scaled(value)).drop(
-        "_a", "_m", "_b", "_full", "_items"
+        "_a", "_m", "_b", "_full", "_items", "_q"
     )

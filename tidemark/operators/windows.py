@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import median_of_sorted, quantile_of_sorted
+from tidemark.functions.arrays import let, median_and_mad, quantile_of_sorted
 from tidemark.operators.ordering import Frames, Order
 
 
@@ -167,18 +167,14 @@ def rolling_median_mad(
         }
     )
     rows = frames.finish(rows)
-    rows = rows.withColumn("_items", F.sort_array("_items"))
-    rows = rows.withColumn("median", median_of_sorted(F.col("_items")))
-    rows = rows.withColumn(
-        "_gaps",
-        F.sort_array(F.transform("_items", lambda v: F.abs(v - F.col("median")))),
-    )
+    rows = rows.withColumn("_stats", median_and_mad(F.col("_items")))
     return rows.withColumns(
         {
-            "mad": median_of_sorted(F.col("_gaps")),
+            "median": F.col("_stats.median"),
+            "mad": F.col("_stats.mad"),
             "nulls_in_window": F.col("rows_in_window") - F.size("_items"),
         }
-    ).drop("_items", "_gaps")
+    ).drop("_items", "_stats")
 
 
 def rolling_percentiles(
@@ -205,10 +201,16 @@ def rolling_percentiles(
     rows = frames.finish(rows)
     if not short_tail:
         rows = rows.filter("_more is not null")
-    rows = rows.withColumn("_items", F.sort_array("_items"))
-    return rows.withColumns(
-        {f"p{p}": quantile_of_sorted(F.col("_items"), p / 100, "midpoint") for p in percents}
-    ).drop("_items", "_more")
+    found = let(
+        F.sort_array("_items"),
+        lambda items: F.struct(
+            *[quantile_of_sorted(items, p / 100, "midpoint").alias(f"p{p}") for p in percents]
+        ),
+    )
+    rows = rows.withColumn("_found", found)
+    return rows.withColumns({f"p{p}": F.col(f"_found.p{p}") for p in percents}).drop(
+        "_items", "_more", "_found"
+    )
 
 
 def difference(

@@ -426,12 +426,10 @@ def best_f1_threshold(t: Tables) -> DataFrame:
 @query(
     "knn_neighbours",
     "J7",
-    f"""WITH a AS (SELECT * FROM embeddings WHERE vec_id % 4 = 0),
-    b AS (SELECT * FROM embeddings WHERE vec_id % 4 <> 0),
-    d AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, b.label AS train_label,
+    f"""WITH d AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, b.label AS train_label,
         list_sum(list_transform(list_zip(a.embedding, b.embedding),
             lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
-        FROM a, b)
+        FROM embeddings a, embeddings b)
     SELECT test_id, rank::INT AS rank, train_id, {r("d2")} AS distance2,
         train_label::BIGINT AS train_label FROM (SELECT *,
         row_number() OVER (PARTITION BY test_id ORDER BY d2, train_id) AS rank FROM d)
@@ -442,20 +440,17 @@ def knn_neighbours(t: Tables) -> DataFrame:
 
 
 def _neighbours(t: Tables) -> DataFrame:
-    test = t.embeddings.filter("vec_id % 4 = 0")
-    train = t.embeddings.filter("vec_id % 4 <> 0")
-    return joins.nearest_neighbours(test, train, "vec_id", "embedding", "label", 5)
+    """Every vector against all vectors, itself included."""
+    return joins.nearest_neighbours(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5)
 
 
 @query(
     "knn_accuracy",
     "J7 E7",
-    f"""WITH a AS (SELECT * FROM embeddings WHERE vec_id % 4 = 0),
-    b AS (SELECT * FROM embeddings WHERE vec_id % 4 <> 0),
-    d AS (SELECT a.vec_id, a.label, b.label AS guess, b.vec_id AS other,
+    f"""WITH d AS (SELECT a.vec_id, a.label, b.label AS guess, b.vec_id AS other,
         list_sum(list_transform(list_zip(a.embedding, b.embedding),
             lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
-        FROM a, b),
+        FROM embeddings a, embeddings b),
     k AS (SELECT * FROM d
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) <= 5),
     v AS (SELECT vec_id, label, guess, count(*) AS votes FROM k GROUP BY ALL),

@@ -18,6 +18,8 @@ class Tables:
     folder: str
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 

@@ -194,7 +194,7 @@ def stream_deduplicated(t: Tables) -> DataFrame:
 
     def result() -> DataFrame:
         stream = _event_stream(t, arrivals)
-        once = windows.deduplicated(stream, ["event_id"], "ts", "365 days")
+        once = windows.deduplicated(stream, ["event_id"], "ts", "20 days")
         return once.select("event_id", "user_id", "ts")
 
     first, second, third = _event_slices(t)

@@ -36,3 +36,7 @@ def tokenizer_path() -> str:
 def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document and decode the ids again."""
     return bpe.digests(table(spark, folder, "documents"), bpe.load_model(tokenizer_path()))
+
+
+def add_pipeline() -> None:
+    """Register the pipeline, which lies at the top of the repository."""

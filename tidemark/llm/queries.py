@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, exact, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -38,5 +38,24 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.load_model(tokenizer_path()))
 
 
+@query(
+    """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """
+)
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group equal texts through the extendible-hash index."""
+    return exact.exact_groups(table(spark, folder, "documents"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predict the language of every document with centroids of those not held out."""
+    return language.predictions(table(spark, folder, "documents"))
+
+
 def add_pipeline() -> None:
     """Register the pipeline, which lies at the top of the repository."""

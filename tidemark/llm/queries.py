@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, language
+from tidemark.llm import bpe, darts, exact, language, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -51,6 +51,24 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+#: Target shares of the tokens, and tokens after mixing for each token before.
+MIX_WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+MIX_BUDGET = 1.25
+
+
+@query()
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents that bring quality domains to their target weights."""
+    labelled = mixing.quality_domains(table(spark, folder, "labels"))
+    return mixing.rates_table(table(spark, folder, "documents"), labelled, MIX_WEIGHTS, MIX_BUDGET)
+
+
+@query()
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity 0.8 or more."""
+    return darts.near_groups(table(spark, folder, "documents")).drop("text_key")
+
+
 @query()
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predict the language of every document with centroids of those not held out."""

@@ -159,8 +159,9 @@ def fit_rates(posteriors: DataFrame, classifier: Classifier, weights: dict[str,
     return rates
 
 
-def copies(rate: Column, *key: Column) -> Column:
-    share = (F.pmod(F.xxhash64(*key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def copies(rate: Column, draw: Column) -> Column:
+    """The rate, rounded up with the probability of its fraction; ``draw`` is a hash of the row."""
+    share = (F.pmod(draw, F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
@@ -179,7 +180,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         return docs
     marked = posteriors(docs, classifier)
     rates = fit_rates(marked.select(F.col("__tokens").alias("tokens"), F.col("__p").alias("p")), classifier, weights, budget)
-    times = copies(rates.column(F.col("__p")), F.col("doc_id"), F.col("text"))
+    times = copies(rates.column(F.col("__p")), F.xxhash64("doc_id", "text"))
     return marked.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 

@@ -52,7 +52,7 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Target shares of the tokens, and tokens after mixing for each token before.
-MIX_WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+MIX_WEIGHTS = {"good": 0.85, "poor": 0.09, "toxic": 0.06}
 MIX_BUDGET = 1.25
 
 
@@ -77,3 +77,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def add_pipeline() -> None:
     """Register the pipeline, which lies at the top of the repository."""
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        TWINS["pipeline"] = corpus_pipeline.ORACLE_SQL

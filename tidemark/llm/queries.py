@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, darts, exact, language, mixing
+from tidemark.llm import bpe, darts, exact, language, licenses, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -38,6 +38,18 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.load_model(tokenizer_path()))
 
 
+@query()
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and signature rules over every document."""
+    return licenses.report(table(spark, folder, "documents"))
+
+
+@query(secrets.twin())
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, through a new ledger."""
+    return secrets.report(table(spark, folder, "documents"))
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, covertree, darts, exact, language, licenses, mixing, secrets
+from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.load_model(tokenizer_path()))
 
 
+@query(chat.twin())
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Format all conversations and one hard case, and digest what is read back."""
+    return chat.summaries(chat.with_hard_case(table(spark, folder, "conversations")))
+
+
 @query()
 def op3_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9 or more."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, secrets
+from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.report(table(spark, folder, "documents"))
 
 
+@query()
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Base expressions and the shape field over every document."""
+    return pii.report(table(spark, folder, "documents"))
+
+
 @query(secrets.twin())
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, through a new ledger."""

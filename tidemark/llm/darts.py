@@ -11,17 +11,14 @@ similarity.
 
 **Join.** Documents with the same words in the same order are folded into one class first (per batch,
 before any shuffle). ``BANDS`` bands of ``ROWS`` coordinates give buckets; a pair of similarity 0.8
-shares none with probability (1 - 0.8**4)**24 < 4e-6. Within a bucket pairs are not enumerated:
+shares none with probability (1 - 0.8**6)**40 < 6e-6. Within a bucket pairs are not enumerated:
 
 1. every class is compared with the bucket's leader (its smallest class), by exact Jaccard similarity;
-   those that fail get a leader among themselves, ``LEADER_ROUNDS`` times; what is left is compared
-   pair by pair;
-2. links so far give components. Jaccard distance is a metric, so a class y that failed with a leader A
-   can only be linked to a follower x of A if d(x, A) >= d(y, A) - (1 - threshold). Such pairs in
-   different components are compared too.
+   those that fail get a leader among themselves, ``LEADER_ROUNDS`` times; links so far give components;
+2. where a bucket still holds several components, the members outside the largest one are compared with
+   all members, in chunks, inside tasks that return links only.
 
-So every pair of a bucket is compared, excluded by the triangle inequality, or in one component
-already. Nothing is capped.
+So every pair of a bucket is compared, or in one component already. Nothing is capped.
 
 Words are maximal runs of letters A-Z (folded), digits and non-ASCII characters. A text of one to four
 words is one shingle; a text without words (null, empty) is linked to nothing. Sets are compared unless
@@ -32,6 +29,7 @@ Of repeated rows one is kept. Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +41,12 @@ from pyspark.sql.window import Window
 from tidemark.llm.components import components, written
 
 WORDS = 5
-COORDINATES = 96
-ROWS = 4
+COORDINATES = 240
+ROWS = 6
 BANDS = COORDINATES // ROWS
 THRESHOLD = 0.8
 LEADER_ROUNDS = 2
+CHUNK = 256  # members of a bucket compared at once
 WINDOW = 1 << 18  # bytes hashed at once
 DOCS_AT_ONCE = 512
 TEXT_AT_ONCE = 1 << 20
@@ -112,7 +111,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, U), np.searchsorted(ends, place, "right")
 
 
-_STEP = mix(np.arange(1, WORDS + 1, dtype=U) * _BASE) | U(1)
+_STEP = mix(np.arange(1, 17, dtype=U) * _BASE) | U(1)
 
 
 def shingles(words: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +166,7 @@ def throw(elements: np.ndarray, owner: np.ndarray, docs: int, share: np.ndarray
         reach = limit[owner]
         while len(at):
             number += 1
-            u = mix(elements[at] + U(number) * _STEP[0])
+            u = mix(elements[at] + np.full(1, number, U) * _STEP[0])
             if number == 1:  # most elements of a long text have no dart: compare before taking logarithms
                 near = u >= (np.exp(-reach) * 2.0**64).astype(U)
                 at, u, rank = at[near], u[near], rank[near]
@@ -295,6 +294,64 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("left") + F.size("right") - shared)).alias("similarity"))
 
 
+def _meet(threshold: float):
+    """Links between the small components of a bucket and all its other members."""
+
+    def work(key: tuple, group: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        small = group["small"].to_numpy(zero_copy_only=False)
+        node, own = group["node"].to_numpy(), group["own"].to_numpy()
+        keys = np.array(group["bands"].to_pylist(), np.int64).reshape(len(node), BANDS)
+        band = int((keys[0] == bucket).argmax())
+        runs = group["runs"].combine_chunks()
+        runs = runs.chunk(0) if isinstance(runs, pa.ChunkedArray) else runs
+        cut, values = runs.offsets.to_numpy(), runs.values.to_numpy()
+        size = np.diff(cut)
+        others = np.flatnonzero(~small)
+        place = np.repeat(np.arange(len(others)), size[others])
+        flat = np.concatenate([values[cut[i] : cut[i + 1]] for i in others]) if len(others) else values[:0]
+        u, v = [], []
+        for i in np.flatnonzero(small):
+            mine = np.sort(values[cut[i] : cut[i + 1]])
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            same = np.bincount(place[mine[at] == flat], minlength=len(others))
+            near = same / (size[i] + size[others] - same) >= threshold
+            # a pair is met in the first bucket that it shares
+            first = ~(keys[i, :band] == keys[others, :band]).any(axis=1)
+            hits = others[near & first & (own[others] != own[i])]
+            u += [node[i]] * len(hits)
+            v += node[hits].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return work
+
+
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """u, v: links between different components of a bucket; ``members`` has bucket, node.
+
+    Members outside the largest component meet all members, in chunks of at most CHUNK on average; pairs
+    are compared inside a task, and only links leave it.
+    """
+    members = members.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("own"))
+    members = written(members, "bucket_components")
+    sizes = members.groupBy("bucket", "own").count()
+    sizes = sizes.groupBy("bucket").agg(F.max_by("own", F.struct("count", "own")).alias("largest"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = sizes.filter("n > most").select(
+        "bucket", "largest", F.ceil((F.col("n") - F.col("most")) / CHUNK).alias("rows"), F.ceil(F.col("n") / CHUNK).alias("columns")
+    )
+    mixed = members.join(sizes, "bucket")
+    small = mixed.filter("own <> largest").select(
+        "bucket", "node", "own", F.lit(True).alias("small"),
+        F.pmod(F.xxhash64("node"), F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"),
+    )
+    every = mixed.select(
+        "bucket", "node", "own", F.lit(False).alias("small"),
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).alias("j"),
+    )
+    held = sets.join(classes.select("node", "bands"), "node")
+    return small.union(every).join(held, "node").groupBy("bucket", "i", "j").applyInArrow(_meet(threshold), "u long, v long")
+
+
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """One row per row of ``df``: doc_id, class_id (smallest id of its group), class_size, kept, text_key."""
     source = df.select(
@@ -313,42 +370,24 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", threshold
     )
     placed = classes.select(F.explode("bands").alias("bucket"), F.col("node").alias("a"))
     leaders = placed.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    left = written(placed.join(leaders.drop("n"), "bucket").filter("a <> b"), "bucket_members")
-
-    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(classes, "node").select("node", F.coalesce("smallest", F.lit(0)).alias("id"), "key")
+    shared = written(placed.join(leaders.drop("n"), "bucket"), "bucket_members")
+    wanted = shared.select(F.col("a").alias("node")).distinct().join(classes, "node")
+    wanted = wanted.select("node", F.coalesce("smallest", F.lit(0)).alias("id"), "key")
     texts = source.select(F.coalesce("id", F.lit(0)).alias("id"), "key", "text").join(wanted, ["id", "key"])
     sets = written(texts.select("node", "text").mapInArrow(_sets(counted), "node long, runs array<bigint>").dropDuplicates(["node"]), "sets")
 
-    decided, reach = [], 1 - threshold
+    left, links = shared.filter("a <> b"), []
     for _ in range(LEADER_ROUNDS):
         known = written(_compared(left.select("a", "b").distinct(), sets), "compared")
-        tried = left.join(known, ["a", "b"])
-        decided.append(written(tried.filter(F.col("similarity") >= threshold - reach - 1e-9), "decided"))
-        failed = tried.filter(F.col("similarity") < threshold).select("bucket", "a")
+        links.append(known.filter(F.col("similarity") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        failed = left.join(known.filter(F.col("similarity") < threshold), ["a", "b"]).select("bucket", "a")
         next_leader = failed.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         left = written(failed.join(next_leader, "bucket").filter("a <> b"), "bucket_members")
-    others = left.select("bucket", "a").union(left.select("bucket", F.col("b").alias("a")).distinct())
-    rest = others.join(others.withColumnRenamed("a", "b"), "bucket").filter("a > b").select("a", "b").distinct()
-    near = decided[0]
-    for d in decided[1:]:
-        near = near.union(d)
-    linked = F.col("similarity") >= threshold
-    links = near.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = written(links.union(_compared(rest, sets).filter(linked).select("a", "b")).distinct(), "links")
-    found = components(links)
-
-    # classes that failed with a leader, and its followers that may still be linked to them
-    of = found.withColumnRenamed("node", "a")
-    apart = near.filter(~linked).join(of, "a", "left").withColumn("own", F.coalesce("root", "a")).drop("root")
-    apart = apart.join(found.withColumnRenamed("node", "b"), "b").filter("own <> root")
-    y = apart.select("bucket", "b", F.col("a").alias("y"), F.col("similarity").alias("far"))
-    x = near.filter(linked).select("bucket", "b", F.col("a").alias("x"), F.col("similarity").alias("close"))
-    doubt = y.join(x, ["bucket", "b"]).filter(F.col("close") - F.col("far") <= reach + 1e-9)
-    more = _compared(doubt.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).filter(linked)
-    more = written(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "late_links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    linked = written(reduce(DataFrame.union, links).distinct(), "links")
+    found = components(linked)
+    late = written(_across(shared.select("bucket", F.col("a").alias("node")), classes, sets, found, threshold), "late_links")
+    if not late.isEmpty():
+        found = components(linked.union(late))
 
     member = rows.join(classes.select("hi", "lo", "node"), ["hi", "lo"], "left")
     member = member.withColumn("node", F.when(F.col("bands").isNull(), F.col("page")).otherwise(F.col("node")))

@@ -31,10 +31,8 @@ def plan(request, spark):
     """Both plans of the ordered operators: series in one task, and series in chunks."""
     if request.param == "chunked":
         spark.conf.set("tidemark.rowsPerTask", "7")
-        spark.conf.set("tidemark.smallPlanBytes", "0")
     yield request.param
     spark.conf.unset("tidemark.rowsPerTask")
-    spark.conf.unset("tidemark.smallPlanBytes")
 
 
 def minute(i: int) -> dt.datetime:

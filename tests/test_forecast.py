@@ -81,17 +81,41 @@ def test_spectrum(hot, plan):
 
 
 def test_spectrum_one_series_at_a_time(spark, hot):
-    spark.conf.set("tidemark.smallPlanBytes", "0")
-    try:
-        out = spectral.spectrum(hot, KEYS, ORDER, "value", packed_rows=1)
-        got = {(r.host, r.k): r.magnitude for r in out.collect()}
-    finally:
-        spark.conf.unset("tidemark.smallPlanBytes")
+    out = spectral.spectrum(hot, KEYS, ORDER, "value", packed_rows=10)
+    got = {(r.host, r.k): r.magnitude for r in out.collect()}
     for host, v in values(hot).items():
         want = np.abs(np.fft.rfft(v))
         assert np.allclose([got[host, k] for k in range(len(want))], want)
 
 
+def leveled(spark, level):
+    """Two features and a target around a level, and white noise around it."""
+    rng = np.random.default_rng(4)
+    x = level + rng.uniform(size=(400, 2))
+    y = 2 * x[:, 0] - 3 * x[:, 1] + 1 + 0.01 * rng.normal(size=400)
+    rows = [("a", minute(i), i, *map(float, (a, b, c))) for i, ((a, b), c) in enumerate(zip(x, y))]
+    return x, y, spark.createDataFrame(rows, "host string, ts timestamp_ntz, id long, x1 double, x2 double, y double")
+
+
+@pytest.mark.parametrize("level", [0.0, 1e4, 1e8])
+def test_fits_do_not_depend_on_the_level(spark, level):
+    x, y, df = leveled(spark, level)
+    off = x - x.mean(axis=0)
+    want = np.linalg.lstsq(off, y - y.mean(), rcond=None)[0]
+    for weight in (None, "w"):
+        got = forecast.least_squares(df.withColumn("w", F.lit(2.0)), ["host"], ["x1", "x2"], "y", weight=weight).first()
+        assert np.allclose(got.weights[1:], want, rtol=1e-6, atol=1e-6) and not got.singular
+    near = spectral.dickey_fuller(df, ["host"], ["ts", "id"], "x1", 1).first()
+    zero = spectral.dickey_fuller(leveled(spark, 0.0)[2], ["host"], ["ts", "id"], "x1", 1).first()
+    assert np.isclose(near.statistic, zero.statistic, rtol=1e-5) and near.statistic < -10
+
+
+def test_dependent_features_are_flagged(spark):
+    _, _, df = leveled(spark, 1e4)
+    got = forecast.least_squares(df.withColumn("x3", F.col("x1") + F.col("x2")), ["host"], ["x1", "x2", "x3"], "y").first()
+    assert got.singular and got.weights is None and got.sse is None
+
+
 @pytest.mark.parametrize("max_lags", [0, 3])
 def test_dickey_fuller(hot, plan, max_lags):
     found = {r.host: r for r in

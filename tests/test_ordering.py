@@ -17,7 +17,8 @@ KEYS, ORDER = ["host"], ["ts", "id"]
 
 
 def test_hot_group_is_seen(hot, plan):
-    assert largest_group(hot, KEYS) == 61
+    assert largest_group(hot, KEYS, 7) == 61
+    assert largest_group(hot, KEYS, 1000) == 90
     assert has_hot_group(hot, KEYS) == (plan == "chunked")
 
 

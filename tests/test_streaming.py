@@ -120,7 +120,6 @@ def test_row_windows_over_batches_equal_batch(spark, places, limit):
     arrivals, out, checkpoint = places
     if limit:
         spark.conf.set("tidemark.rowsPerTask", limit)
-        spark.conf.set("tidemark.smallPlanBytes", "0")
     try:
         rows = [("a", minute(i), i, float(i * i % 7)) for i in range(24)]
         rows += [("b", minute(i), 100 + i, float(i)) for i in range(3)]
@@ -150,7 +149,6 @@ def test_row_windows_over_batches_equal_batch(spark, places, limit):
         assert [(r.id, r.batch_id) for r in kept_late] == [(1000, 1)]
     finally:
         spark.conf.unset("tidemark.rowsPerTask")
-        spark.conf.unset("tidemark.smallPlanBytes")
 
 
 def test_repeated_batch_gives_the_same_result(spark, places):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tests.conftest import lcg
 from tidemark.functions import text as fn
 from tidemark.operators import joins, score, text
+from tidemark.session import scratch
+from tidemark.sources import files
 
 DOCS = [
     (1, "The quick  brown fox, it's QUICK/quick!"),
@@ -152,6 +154,30 @@ def test_nearest_neighbours_is_brute_force(spark, block_rows):
     assert joins.vote(found).count() == 14
 
 
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_nearest_neighbours_leaves_the_row_itself_out(spark, block_rows):
+    numbers = np.array(lcg(20 * 3, 6)).reshape(20, 3)
+    numbers[7] = numbers[8]
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    found = joins.nearest_neighbours(df, df, "id", "v", "label", 4, block_rows, leave_one_out=True)
+    got = {}
+    for r in found.orderBy("test_id", "rank").collect():
+        got.setdefault(r.test_id, []).append(r.train_id)
+    for i in range(20):
+        far = [(round(float(((numbers[i] - numbers[j]) ** 2).sum()), 9), j) for j in range(20)]
+        assert got[i] == [j for _, j in sorted(p for p in far if p[1] != i)[:4]]
+
+
+def test_csv_keeps_any_text(spark):
+    texts = ['a "b", c', "one\ntwo\r\nthree\rfour", " blanks ", "", None, '\\"', '"', "\t", ",", "\n", "#x"]
+    path = scratch(spark, "csv_texts")
+    df = spark.createDataFrame([*enumerate(texts)], "id long, text string").coalesce(2)
+    files.write_csv(df, path)
+    back = files.read_csv(spark, path, df.schema)
+    assert {r.id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_vote_prefers_the_smaller_label(spark):
     rows = [(1, 5), (1, 2), (1, 5), (1, 2), (2, 9)]
     df = spark.createDataFrame(rows, "test_id long, train_label long")

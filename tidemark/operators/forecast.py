@@ -123,25 +123,73 @@ def lag_table(
     return rows.na.drop(subset=[f"lag_{lags}"])
 
 
-def normal_sums(
-    terms: Sequence[Column], target: Column, weight: Column | None = None
-) -> dict[str, Column]:
-    """Aggregates that determine a linear fit: products of the terms and with the target."""
-    w = F.lit(1.0) if weight is None else weight
-    gram = [F.sum(w * a * b) for i, a in enumerate(terms) for b in terms[i:]]
-    return {
-        "gram": F.array(*gram),
-        "moments": F.array(*[F.sum(w * a * target) for a in terms]),
-        "square": F.sum(w * target * target),
-        "rows": F.count(F.lit(1)),
-    }
+def comoments(columns: Sequence[Column]) -> dict[str, Column]:
+    """Row count, means and centred sums of products (upper triangle) of some columns.
+
+    Spark's covariance keeps running means, so a large level does not swamp the spread.
+    """
+    n = F.count(F.lit(1))
+    pairs = [F.covar_pop(a, b) * n for i, a in enumerate(columns) for b in columns[i:]]
+    return {"rows": n, "means": F.array(*map(F.avg, columns)), "co": F.array(*pairs)}
+
 
+def _weighted_comoments(
+    rows: DataFrame, keys: Sequence[str], names: Sequence[str], weight: str
+) -> DataFrame:
+    """The same with weights: the means first, then the products of what is left."""
+    w = F.col(weight)
+    means = rows.groupBy(*keys).agg(
+        F.array(*[F.sum(w * F.col(c)) / F.sum(w) for c in names]).alias("_means")
+    )
+    rows = attach(rows, means, keys)
+    off = [F.col(c) - F.get("_means", F.lit(i)) for i, c in enumerate(names)]
+    pairs = [F.sum(w * a * b) for i, a in enumerate(off) for b in off[i:]]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.first("_means").alias("_means"),
+        F.array(*pairs).alias("_co"),
+    )
 
-def gram_matrix(upper: Sequence[float], size: int) -> np.ndarray:
-    """The symmetric matrix of a row-wise upper triangle."""
-    full = np.zeros((size, size))
-    full[np.triu_indices(size)] = upper
-    return full + np.triu(full, 1).T
+
+def symmetric(upper: np.ndarray, size: int) -> np.ndarray:
+    """Symmetric matrices of row-wise upper triangles (last axis)."""
+    full = np.zeros((*upper.shape[:-1], size, size))
+    i, j = np.triu_indices(size)
+    full[..., i, j] = upper
+    full[..., j, i] = upper
+    return full
+
+
+#: Smallest eigenvalue of a correlation matrix that still counts as independent columns.
+INDEPENDENT = 1e-12
+
+
+def solve_centred(
+    co: np.ndarray, ridge: float = 0.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes, residual sums, scaled inverses and singular flags of centred systems.
+
+    ``co`` holds products of features and, last, the target. Columns are scaled by their
+    deviation first. A singular system has NaN slopes.
+    """
+    gram, moments, total = co[:, :-1, :-1], co[:, :-1, -1], co[:, -1, -1]
+    k = gram.shape[1]
+    gram_ridged = gram + ridge * np.eye(k)
+    scale = np.sqrt(np.maximum(np.einsum("bii->bi", gram_ridged), 0.0))
+    safe = np.where(scale > 0, scale, 1.0)
+    unit = gram_ridged / safe[:, :, None] / safe[:, None, :]
+    finite = np.isfinite(unit).all(axis=(1, 2))
+    unit[~finite] = 0.0
+    singular = ~finite | (scale == 0).any(axis=1)
+    if k:
+        singular |= np.linalg.eigvalsh(unit)[:, 0] < INDEPENDENT
+    unit[singular] = np.eye(k)
+    inverse = np.linalg.inv(unit) / safe[:, :, None] / safe[:, None, :]
+    slopes = np.linalg.solve(unit, (moments / safe)[:, :, None])[:, :, 0] / safe
+    left = total - 2 * np.einsum("bi,bi->b", slopes, moments)
+    left = left + np.einsum("bi,bij,bj->b", slopes, gram, slopes)
+    slopes[singular] = np.nan
+    return slopes, np.where(singular, np.nan, np.maximum(left, 0.0)), inverse, singular
 
 
 def least_squares(
@@ -154,33 +202,43 @@ def least_squares(
 ) -> DataFrame:
     """Linear model with intercept per series: ``weights`` (intercept first), ``rows``, ``sse``.
 
-    The sums of products are plain aggregates (map-side combined, so a long series
-    costs no more memory than a short one). Only the small systems are solved in
-    numpy, in batches of series. ``ridge`` is added to the diagonal, but not for
-    the intercept.
+    Means and centred products are plain aggregates (map-side combined, so a long series
+    costs no more memory than a short one). Only the small centred systems are solved in
+    numpy, in batches of series. ``ridge`` is added to the diagonal, but not for the
+    intercept. Features that determine each other leave ``weights`` and ``sse`` null and
+    set ``singular``.
     """
-    terms = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    used = [*features, target, *([weight] if weight else [])]
+    names = [*features, target]
+    used = [*names, *([weight] if weight else [])]
     rows = df.select(*keys, *dict.fromkeys(used)).na.drop(subset=used)
-    sums = normal_sums(terms, F.col(target).cast("double"), F.col(weight) if weight else None)
-    table = rows.groupBy(*keys).agg(*[c.alias(f"_{name}") for name, c in sums.items()])
-    size = len(terms)
-    penalty = np.diag([0.0] + [ridge] * len(features))
+    rows = rows.withColumns({f"_v{i}": F.col(c).cast("double") for i, c in enumerate(names)})
+    values = [f"_v{i}" for i in range(len(names))]
+    if weight:
+        table = _weighted_comoments(rows, keys, values, weight)
+    else:
+        sums = comoments([F.col(c) for c in values])
+        table = rows.groupBy(*keys).agg(*[c.alias(f"_{name}") for name, c in sums.items()])
+    size = len(names)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            weights, errors = [], []
-            for gram, moments, square in zip(batch["_gram"], batch["_moments"], batch["_square"]):
-                a = gram_matrix(gram, size)
-                m = np.asarray(moments, dtype=float)
-                w = np.linalg.lstsq(a + penalty, m, rcond=None)[0]
-                weights.append(w.tolist())
-                errors.append(float(max(square - 2 * w @ m + w @ a @ w, 0.0)))
-            yield batch[list(keys)].assign(rows=batch["_rows"], weights=weights, sse=errors)
+            if not len(batch):
+                continue
+            co = symmetric(np.array(batch["_co"].tolist(), dtype=float), size)
+            means = np.array(batch["_means"].tolist(), dtype=float)
+            slopes, sse, _, singular = solve_centred(co, ridge)
+            intercept = means[:, -1] - np.einsum("bi,bi->b", slopes, means[:, :-1])
+            every = np.column_stack([intercept, slopes])
+            weights = [None if bad else w.tolist() for w, bad in zip(every, singular)]
+            yield batch[list(keys)].assign(
+                rows=batch["_rows"], weights=weights, singular=singular,
+                sse=[None if bad else float(e) for e, bad in zip(sse, singular)],
+            )
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*keys).schema]
     return table.mapInPandas(
-        solve, ", ".join([*schema, "rows long", "weights array<double>", "sse double"])
+        solve,
+        ", ".join([*schema, "rows long, weights array<double>, singular boolean, sse double"]),
     )
 
 

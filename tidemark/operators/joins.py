@@ -68,17 +68,23 @@ def add_lower_case(
     return vectors.select(word, vector).unionByName(missing)
 
 
-def _nearest(test: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: int):
-    """Row-wise k smallest (distance, id), exact, ties by id."""
+def _nearest(
+    test: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: int,
+    leave_out: np.ndarray | None = None,
+):
+    """Row-wise k smallest (distance, id), exact, ties by id; ``leave_out`` names an id per row."""
     gaps = (
         (test * test).sum(1)[:, None] + (train * train).sum(1)[None, :] - 2.0 * test @ train.T
     )
+    if leave_out is not None:
+        gaps[leave_out[:, None] == train_ids[None, :]] = np.inf
     take = min(k, train.shape[0])
     # Candidates by the fast form, with slack for its rounding; exact distances decide.
     bound = np.partition(gaps, take - 1, axis=1)[:, take - 1]
     scale = (test * test).sum(1) + (train * train).sum(1).max(initial=0.0)
     for i in range(test.shape[0]):
-        near = np.flatnonzero(gaps[i] <= bound[i] + 1e-9 * (1.0 + scale[i]))
+        close = gaps[i] <= bound[i] + 1e-9 * (1.0 + scale[i])
+        near = np.flatnonzero(close & (gaps[i] < np.inf))
         diff = train[near] - test[i]
         exact = (diff * diff).sum(1)
         best = np.lexsort((train_ids[near], exact))[:take]
@@ -93,9 +99,11 @@ def nearest_neighbours(
     label: str,
     k: int = 5,
     block_rows: int = 4096,
+    leave_one_out: bool = False,
 ) -> DataFrame:
     """The k nearest training rows of each test row by Euclidean distance, exact.
 
+    With ``leave_one_out`` a training row is no neighbour of the test row with its id.
     Rows ``(test_id, rank, train_id, distance2, train_label)``. Both sides are cut
     into blocks of about ``block_rows`` rows and each pair of blocks meets once. A
     meeting keeps k rows per test row, so no table of row pairs ever exists, and
@@ -135,8 +143,10 @@ def nearest_neighbours(
             labels = trains["train_label"].to_numpy()
             for start in range(0, len(tests), 512):
                 part = tests.iloc[start : start + 512]
-                found = _nearest(np.stack(part["v"].to_numpy()), matrix, ids, k)
-                for tid, (d2, at) in zip(part["test_id"].to_numpy(), found):
+                own = part["test_id"].to_numpy()
+                out_ids = own if leave_one_out else None
+                found = _nearest(np.stack(part["v"].to_numpy()), matrix, ids, k, out_ids)
+                for tid, (d2, at) in zip(own, found):
                     out["test_id"].append(np.full(len(at), tid))
                     out["train_id"].append(ids[at])
                     out["distance2"].append(d2)

@@ -22,29 +22,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed, is_small, rows_per_task
+from tidemark.session import checkpointed, rows_per_task
 
 Order = Sequence[str | Column]
 
 
-def _group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(largest group, all rows); one partial aggregation over the keys."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
-    return row["top"] or 0, row["total"] or 0
+#: Sizes counted before, by plan and keys. They steer the choice of a plan only, never a result.
+_KNOWN_SIZES: dict[tuple, tuple[int, int]] = {}
+MOST_KNOWN = 256
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return _group_sizes(df, keys)[0]
+def _group_sizes(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None
+) -> tuple[int, int]:
+    """(largest group, all rows), counted once per plan and keys.
 
+    The rows alone are counted first: if all of them are within the limit (those of a task),
+    so is any group, and their number stands for the largest one.
+    """
+    limit = rows_per_task(df.sparkSession) if limit is None else limit
+    at = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), limit)
+    if at not in _KNOWN_SIZES:
+        if len(_KNOWN_SIZES) >= MOST_KNOWN:
+            _KNOWN_SIZES.clear()
+        total = top = df.count()
+        if keys and total > limit:
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            top = counts.agg(F.max("n").alias("top")).first()["top"] or 0
+        _KNOWN_SIZES[at] = (top, total)
+    return _KNOWN_SIZES[at]
 
-def hot_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """0 if every group fits into one task, else the row count of the table.
 
-    Small inputs are not counted.
-    """
-    if is_small(df):
-        return 0
+def largest_group(df: DataFrame, keys: Sequence[str], limit: int) -> int:
+    """Rows of the largest group, or of the table if all its rows are within ``limit``."""
+    return _group_sizes(df, keys, limit)[0]
+
+
+def hot_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """0 if every group fits into one task, else the row count of the table."""
     top, total = _group_sizes(df, keys)
     return total if top > rows_per_task(df.sparkSession) else 0
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.forecast import gram_matrix, normal_sums
+from tidemark.operators.forecast import comoments, solve_centred, symmetric
 from tidemark.operators.ordering import (
     Frames,
     Order,
@@ -19,7 +19,7 @@ from tidemark.operators.ordering import (
     match,
     numbered,
 )
-from tidemark.session import is_small, rows_per_task
+from tidemark.session import rows_per_task
 
 DAYS_PER_YEAR = 365.2425
 
@@ -213,15 +213,21 @@ def spectrum(
             out.insert(0, name, [part[name].iloc[0]] * len(out))
         return out
 
-    longest = 0 if is_small(present) else largest_group(present, keys)
-    if longest <= min(packed_rows, limit):
-        items = F.sort_array(F.collect_list(F.struct("pos", "x")))
-        series = rows.groupBy(*keys).agg(F.transform(items, lambda p: p["x"]).alias("_x"))
-        return series.mapInPandas(many, schema)
-    fitting = rows.filter(F.col("n") <= limit).groupBy(*keys).applyInPandas(one, schema)
-    if longest <= limit:
-        return fitting
-    return fitting.unionByName(_long_spectrum(rows.filter(F.col("n") > limit), keys))
+    # Each series goes by its own length. The counted length only leaves out branches; the last
+    # branch built takes all series left over.
+    short = min(packed_rows, limit)
+    longest = largest_group(present, keys, short)
+    items = F.sort_array(F.collect_list(F.struct("pos", "x")))
+    packed = rows.filter(F.col("n") <= short) if longest > short else rows
+    series = packed.groupBy(*keys).agg(F.transform(items, lambda p: p["x"]).alias("_x"))
+    found = series.mapInPandas(many, schema)
+    if longest > short:
+        fitting = rows.filter(F.col("n") > short)
+        fitting = fitting.filter(F.col("n") <= limit) if longest > limit else fitting
+        found = found.unionByName(fitting.groupBy(*keys).applyInPandas(one, schema))
+    if longest > limit:
+        found = found.unionByName(_long_spectrum(rows.filter(F.col("n") > limit), keys))
+    return found
 
 
 def _p_value(stat: float) -> float:
@@ -255,27 +261,33 @@ def dickey_fuller(
     changes = [
         F.coalesce(levels[i] - levels[i + 1], F.lit(0.0)) for i in range(1, max_lags + 1)
     ]
-    terms = [F.lit(1.0), F.col("_x1").cast("double"), *changes]
+    step = F.col(value).cast("double") - F.col("_x1")
     has = F.least(F.col("_pos") - 1, F.lit(max_lags)).cast("int")
-    sums = normal_sums(terms, F.col(value) - F.col("_x1"))
+    sums = comoments([F.col("_x1").cast("double"), *changes, step])
     table = rows.groupBy(*keys, has.alias("_has")).agg(
         *[c.alias(f"_{name}") for name, c in sums.items()]
     )
-    size = len(terms)
+    size = max_lags + 2
 
     def fit(sums: list[np.ndarray], lags: int, least: int) -> tuple[float, float, int]:
         """(statistic, AIC, rows) of the model with ``lags`` over rows with >= ``least``."""
-        has, gram, moments, square, rows = sums
+        has, rows, means, co = sums
         use = has >= least
         n, k = int(rows[use].sum()), 2 + lags
         if n <= k:
             return math.nan, math.inf, n
-        g = gram_matrix(gram[use].sum(axis=0), size)[:k, :k]
-        m = moments[use].sum(axis=0)[:k]
-        w = np.linalg.lstsq(g, m, rcond=None)[0]
-        sse = max(float(square[use].sum() - w @ m), 0.0)
-        spread = np.linalg.pinv(g)[1, 1] * sse / (n - k)
-        stat = w[1] / math.sqrt(spread) if spread > 0 else math.nan
+        # parts of a series have means of their own
+        mean = (rows[use, None] * means[use]).sum(axis=0) / n
+        off = means[use] - mean
+        joint = symmetric(co[use], size).sum(axis=0)
+        joint = joint + np.einsum("r,ri,rj->ij", rows[use].astype(float), off, off)
+        some = [*range(lags + 1), size - 1]
+        w, sse, inverse, singular = solve_centred(joint[np.ix_(some, some)][None])
+        if singular[0]:
+            return math.nan, math.inf, n
+        sse = float(sse[0])
+        spread = inverse[0, 0, 0] * sse / (n - k)
+        stat = w[0, 0] / math.sqrt(spread) if spread > 0 else math.nan
         aic = n * (math.log(2 * math.pi * sse / n) + 1) + 2 * k if sse > 0 else -math.inf
         return float(stat), aic, n
 

@@ -429,7 +429,7 @@ def best_f1_threshold(t: Tables) -> DataFrame:
     f"""WITH d AS (SELECT a.vec_id AS test_id, b.vec_id AS train_id, b.label AS train_label,
         list_sum(list_transform(list_zip(a.embedding, b.embedding),
             lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
-        FROM embeddings a, embeddings b)
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
     SELECT test_id, rank::INT AS rank, train_id, {r("d2")} AS distance2,
         train_label::BIGINT AS train_label FROM (SELECT *,
         row_number() OVER (PARTITION BY test_id ORDER BY d2, train_id) AS rank FROM d)
@@ -440,8 +440,10 @@ def knn_neighbours(t: Tables) -> DataFrame:
 
 
 def _neighbours(t: Tables) -> DataFrame:
-    """Every vector against all vectors, itself included."""
-    return joins.nearest_neighbours(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5)
+    """Every vector against all others."""
+    return joins.nearest_neighbours(
+        t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, leave_one_out=True
+    )
 
 
 @query(
@@ -450,7 +452,7 @@ def _neighbours(t: Tables) -> DataFrame:
     f"""WITH d AS (SELECT a.vec_id, a.label, b.label AS guess, b.vec_id AS other,
         list_sum(list_transform(list_zip(a.embedding, b.embedding),
             lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
-        FROM embeddings a, embeddings b),
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
     k AS (SELECT * FROM d
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) <= 5),
     v AS (SELECT vec_id, label, guess, count(*) AS votes FROM k GROUP BY ALL),

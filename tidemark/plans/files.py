@@ -19,6 +19,15 @@ def csv_scan(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "ts", "user_id", "event_type", "value")
     path = scratch(t.spark, "events_csv")
     files.write_csv(rows, path)
+    return files.read_csv(t.spark, path, rows.schema, multi_line=False)
+
+
+@query("text_csv_scan", "S1", "SELECT doc_id, text, lang, source FROM documents")
+def text_csv_scan(t: Tables) -> DataFrame:
+    """Whole texts through CSV and back: line ends, quotes, commas, blanks and nulls."""
+    rows = t.documents.select("doc_id", "text", "lang", "source")
+    path = scratch(t.spark, "documents_csv")
+    files.write_csv(rows, path)
     return files.read_csv(t.spark, path, rows.schema)
 
 

@@ -151,12 +151,12 @@ def vocabulary(t: Tables) -> DataFrame:
 _INDEX = f"""c AS (SELECT unnest({separated_sql('text')}) AS word, count(*) AS n
         FROM documents GROUP BY 1),
     x AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM c
-        QUALIFY id <= 499)"""
+        QUALIFY id <= 49999)"""
 
 
 @query("word_index", "T11", f"WITH {_INDEX} SELECT word, id::INT AS id FROM x")
 def word_index(t: Tables) -> DataFrame:
-    return text.word_index(t.documents, "text", 500)
+    return text.word_index(t.documents, "text", 50_000)
 
 
 _SEQ = f"""{_INDEX}, w AS (SELECT doc_id, {separated_sql('text')} AS k FROM documents),
@@ -172,7 +172,7 @@ _SEQ = f"""{_INDEX}, w AS (SELECT doc_id, {separated_sql('text')} AS k FROM docu
     f"WITH {_SEQ} SELECT doc_id, (pos - 1)::INT AS pos, id FROM s",
 )
 def text_to_ids(t: Tables) -> DataFrame:
-    index = text.word_index(t.documents, "text", 500)
+    index = text.word_index(t.documents, "text", 50_000)
     rows = text.to_sequences(t.documents, index, "doc_id", "text")
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
@@ -185,14 +185,14 @@ _PADDED = f"""WITH {_SEQ}, p AS (SELECT doc_id, unnest(range(100)) AS pos FROM d
 @query("padded_ids", "T13 T14", _PADDED)
 def padded_ids(t: Tables) -> DataFrame:
     docs = text.fill_text(t.documents.select("doc_id", "text"), ["text"])
-    index = text.word_index(docs, "text", 500)
+    index = text.word_index(docs, "text", 50_000)
     rows = text.pad(text.to_sequences(docs, index, "doc_id", "text"), "ids", 100)
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
 
 @query("prepared_corpus", "T14 X7")
 def prepared_corpus(t: Tables) -> DataFrame:
-    return text.prepare(t.documents.select("doc_id", "text"), "doc_id", "text", 500, 100)
+    return text.prepare(t.documents.select("doc_id", "text"), "doc_id", "text", 50_000, 100)
 
 
 _CLASS_TOKENS = f"""w AS (SELECT l.toxic, {TOKENS} AS k

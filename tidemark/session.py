@@ -1,13 +1,11 @@
 """Session defaults, size limits and the shared scratch folder.
 
-Two settings steer how operators treat big groups. Both are read from the
-session, so a job can tune them without touching code:
+One setting steers how operators treat big groups. It is read from the session,
+so a job can tune it without touching code:
 
 ``tidemark.rowsPerTask``
     The most rows of one series that a single task may hold. Longer series are
     cut into chunks (see ``operators.ordering``).
-``tidemark.smallPlanBytes``
-    Inputs whose estimated size is below this never need the group-size check.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK = 4_000_000
-SMALL_PLAN_BYTES = 64 * 1024 * 1024
 
 
 def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,20 +42,6 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get("tidemark.rowsPerTask", str(ROWS_PER_TASK)))
 
 
-def small_plan_bytes(spark: SparkSession) -> int:
-    return int(spark.conf.get("tidemark.smallPlanBytes", str(SMALL_PLAN_BYTES)))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of the optimized plan (file sizes for scans)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= small_plan_bytes(df.sparkSession)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 

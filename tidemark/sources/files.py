@@ -11,16 +11,39 @@ from pyspark.sql import types as T
 from tidemark.operators.clean import null_markers, parse_timestamp
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True
-             ) -> DataFrame:
-    """CSV with a stated schema, so that no pass over the file is spent on inference."""
-    return spark.read.schema(schema).csv(path, header=header)
+#: Quotes are doubled inside quotes and blanks are kept, so that any text comes back as it was.
+CSV_TEXT = {
+    "escape": '"',
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+#: What the reader takes a field without quotes and characters for; a quoted one is an empty text.
+ABSENT = "\x01absent\x01"
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    header: bool = True,
+    multi_line: bool = True,
+) -> DataFrame:
+    """CSV with a stated schema, so that no pass over the file is spent on inference.
+
+    Texts may hold line ends; a file is then read by one task, so write many files. Without
+    ``multi_line`` files are split, but no text may hold a line end. A field without any
+    character is null, ``""`` an empty text. A row of one null column is an empty line, which is
+    not read back.
+    """
+    reader = spark.read.schema(schema).options(**CSV_TEXT, nullValue=ABSENT, emptyValue="")
+    return reader.csv(path, header=header, multiLine=multi_line)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """CSV that keeps microseconds."""
+    """CSV that keeps microseconds, and texts with quotes, separators, line ends and blanks."""
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    df.write.option("timestampNTZFormat", stamp).csv(path, header=header)
+    df.write.options(**CSV_TEXT, timestampNTZFormat=stamp).csv(path, header=header)
 
 
 def read_metrics(

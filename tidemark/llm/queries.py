@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, secrets
+from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, repeats, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -105,6 +105,12 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(table(spark, folder, "documents"))
 
 
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, after the planted repeats."""
+    return repeats.report(table(spark, folder, "documents"))
+
+
 def add_pipeline() -> None:
     """Register the pipeline, which lies at the top of the repository."""
     import corpus_pipeline

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, repeats, secrets
+from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, repeats, secrets, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -111,6 +111,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.report(table(spark, folder, "documents"))
 
 
+@query()
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.report(table(spark, folder, "documents"))
+
+
 def add_pipeline() -> None:
     """Register the pipeline, which lies at the top of the repository."""
     import corpus_pipeline

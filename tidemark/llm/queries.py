@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, covertree, darts, exact, language, licenses, mixing, pii, repeats, secrets, spelling
+from tidemark.llm import bpe, chat, covertree, darts, exact, innerproduct, language, licenses, mixing, pii, repeats, secrets, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -105,6 +105,12 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(table(spark, folder, "documents"))
 
 
+@query(innerproduct.TWIN)
+def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    return innerproduct.report(table(spark, folder, "embeddings"))
+
+
 @query()
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in every document, after the planted repeats."""

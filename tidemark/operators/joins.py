@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.neighbours import nearest_neighbours  # noqa: F401
 from tidemark.operators.ordering import match
 
 
@@ -68,98 +67,13 @@ def add_lower_case(
     return vectors.select(word, vector).unionByName(missing)
 
 
-def _nearest(
-    test: np.ndarray, train: np.ndarray, train_ids: np.ndarray, k: int,
-    leave_out: np.ndarray | None = None,
-):
-    """Row-wise k smallest (distance, id), exact, ties by id; ``leave_out`` names an id per row."""
-    gaps = (
-        (test * test).sum(1)[:, None] + (train * train).sum(1)[None, :] - 2.0 * test @ train.T
+def class_shares(neighbours: DataFrame) -> DataFrame:
+    """Rows ``(test_id, train_label, share)``: how much of the vote each label got. Labels without a vote have no row."""
+    votes = neighbours.groupBy("test_id", "train_label").agg(F.count(F.lit(1)).alias("_votes"))
+    every = neighbours.groupBy("test_id").agg(F.count(F.lit(1)).alias("_all"))
+    return votes.join(every, "test_id").select(
+        "test_id", "train_label", (F.col("_votes") / F.col("_all")).alias("share")
     )
-    if leave_out is not None:
-        gaps[leave_out[:, None] == train_ids[None, :]] = np.inf
-    take = min(k, train.shape[0])
-    # Candidates by the fast form, with slack for its rounding; exact distances decide.
-    bound = np.partition(gaps, take - 1, axis=1)[:, take - 1]
-    scale = (test * test).sum(1) + (train * train).sum(1).max(initial=0.0)
-    for i in range(test.shape[0]):
-        close = gaps[i] <= bound[i] + 1e-9 * (1.0 + scale[i])
-        near = np.flatnonzero(close & (gaps[i] < np.inf))
-        diff = train[near] - test[i]
-        exact = (diff * diff).sum(1)
-        best = np.lexsort((train_ids[near], exact))[:take]
-        yield exact[best], near[best]
-
-
-def nearest_neighbours(
-    test: DataFrame,
-    train: DataFrame,
-    id_column: str,
-    vector: str,
-    label: str,
-    k: int = 5,
-    block_rows: int = 4096,
-    leave_one_out: bool = False,
-) -> DataFrame:
-    """The k nearest training rows of each test row by Euclidean distance, exact.
-
-    With ``leave_one_out`` a training row is no neighbour of the test row with its id.
-    Rows ``(test_id, rank, train_id, distance2, train_label)``. Both sides are cut
-    into blocks of about ``block_rows`` rows and each pair of blocks meets once. A
-    meeting keeps k rows per test row, so no table of row pairs ever exists, and
-    the k best over all blocks remain.
-    """
-    left = test.select(
-        F.col(id_column).cast("long").alias("test_id"),
-        F.col(vector).cast("array<double>").alias("v"),
-    )
-    right = train.select(
-        F.col(id_column).cast("long").alias("train_id"),
-        F.col(label).cast("long").alias("train_label"),
-        F.col(vector).cast("array<double>").alias("v"),
-    )
-    test_blocks = max(1, -(-left.count() // block_rows))
-    train_blocks = max(1, -(-right.count() // block_rows))
-    schema = "test_id long, train_id long, distance2 double, train_label long"
-
-    def block(row_id: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    tests = left.withColumn("tb", block("test_id", test_blocks)).withColumn(
-        "rb", every(train_blocks)
-    )
-    trains = right.withColumn("rb", block("train_id", train_blocks)).withColumn(
-        "tb", every(test_blocks)
-    )
-
-    def meet(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
-        out = {"test_id": [], "train_id": [], "distance2": [], "train_label": []}
-        if len(tests) and len(trains):
-            matrix = np.stack(trains["v"].to_numpy())
-            ids = trains["train_id"].to_numpy()
-            labels = trains["train_label"].to_numpy()
-            for start in range(0, len(tests), 512):
-                part = tests.iloc[start : start + 512]
-                own = part["test_id"].to_numpy()
-                out_ids = own if leave_one_out else None
-                found = _nearest(np.stack(part["v"].to_numpy()), matrix, ids, k, out_ids)
-                for tid, (d2, at) in zip(own, found):
-                    out["test_id"].append(np.full(len(at), tid))
-                    out["train_id"].append(ids[at])
-                    out["distance2"].append(d2)
-                    out["train_label"].append(labels[at])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
-
-    found = tests.groupBy("tb", "rb").cogroup(trains.groupBy("tb", "rb")).applyInPandas(
-        meet, schema
-    )
-    # Every input partition passes on at most k rows per test row.
-    ranked = Window.partitionBy("test_id").orderBy("distance2", "train_id")
-    best = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-    return best.select("test_id", "rank", "train_id", "distance2", "train_label")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

@@ -206,6 +206,7 @@ class Frames:
         self.before, self.after = before, after
         hot = hot_rows(df, keys)
         self._chunked = hot > 0
+        self.most_chunks = 1  # of any series
         self._helpers: list[str] = []
         if not self._chunked:
             self.order = Window.partitionBy(*keys).orderBy(*order)
@@ -214,6 +215,7 @@ class Frames:
                 self.df = df.withColumn(position, F.row_number().over(self.order).cast("long") - 1)
             return
         size = max(rows_per_task(df.sparkSession), before + after, 1)
+        self.most_chunks = math.ceil(hot / size)
         pos = position or "_pos"
         self._helpers = ["_chunk", "_home"] + ([] if position else ["_pos"])
         rows = running_total(df, keys, order, None, pos, hot)
@@ -230,6 +232,12 @@ class Frames:
             raise ValueError("frame reaches past the rows declared in before/after")
         return self.order.rowsBetween(start, end)
 
+    def with_groups(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_chunk`` (what one task may hold together) and ``_home`` (not a neighbour's copy) in both plans."""
+        if self._chunked:
+            return df
+        return df.withColumns({"_chunk": F.lit(0).cast("long"), "_home": F.lit(True)})
+
     def finish(self, df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
         """Keep each row once (neighbour copies go) and drop helper columns."""
         if self._chunked:

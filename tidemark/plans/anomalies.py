@@ -446,6 +446,23 @@ def _neighbours(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "knn_class_shares",
+    "J7 E7",
+    f"""WITH d AS (SELECT a.vec_id, b.label, b.vec_id AS other,
+        list_sum(list_transform(list_zip(a.embedding, b.embedding),
+            lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2
+        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+    k AS (SELECT * FROM d
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) <= 5)
+    SELECT vec_id AS test_id, label::BIGINT AS train_label, {r("count(*) / 5.0::DOUBLE")} AS share
+        FROM k GROUP BY 1, 2""",
+)
+def knn_class_shares(t: Tables) -> DataFrame:
+    """The share of each class in the vote of the neighbours."""
+    return rounded(joins.class_shares(_neighbours(t)), "share")
+
+
 @query(
     "knn_accuracy",
     "J7 E7",

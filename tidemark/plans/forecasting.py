@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import rounded
-from tidemark.operators import forecast, scaling
+from tidemark.operators import forecast, horizons, resample, scaling
 from tidemark.plans.registry import Tables, query, r
 from tidemark.plans.windowing import (
     BY_USER,
@@ -139,6 +139,50 @@ def direct_multi_horizon(t: Tables) -> DataFrame:
     return rounded(out, "predicted", digits=5)
 
 
+def _two_columns(t: Tables) -> DataFrame:
+    """Value and the number in ``props`` of every event."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("k")
+    return t.events.select("event_id", "user_id", "ts", "value", k)
+
+
+@query(
+    "two_column_forecast",
+    "F6",
+    f"""WITH p AS (SELECT user_id, value AS x, regexp_extract(props, '[0-9]+')::DOUBLE AS y,
+        row_number() OVER o AS pos, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2,
+        lead(y, 1) OVER o AS y1, lead(y, 2) OVER o AS y2
+        FROM events WINDOW o AS ({SQL_ORDER})),
+    u AS (SELECT user_id, x, y, x2 IS NOT NULL AS used, unnest([
+        {{'column': 'value', 'h': 1, 'z': x1}}, {{'column': 'value', 'h': 2, 'z': x2}},
+        {{'column': 'k', 'h': 1, 'z': y1}}, {{'column': 'k', 'h': 2, 'z': y2}}], recursive := true)
+        FROM p),
+    g AS (SELECT user_id, "column", h, count(*) FILTER (used) AS n,
+        avg(x) FILTER (used) AS mx, avg(y) FILTER (used) AS my, avg(z) FILTER (used) AS mz,
+        var_pop(x) FILTER (used) AS vx, var_pop(y) FILTER (used) AS vy,
+        covar_pop(x, y) FILTER (used) AS xy, covar_pop(x, z) FILTER (used) AS xz,
+        covar_pop(y, z) FILTER (used) AS yz FROM u GROUP BY ALL),
+    e AS (SELECT user_id, arg_max(x, pos) AS x, arg_max(y, pos) AS y FROM p GROUP BY 1)
+    SELECT user_id, "column", h::INT AS h, n AS rows, CASE WHEN n >= 3 THEN
+        {r("mz + ((xz * vy - yz * xy) * (x - mx) + (yz * vx - xz * xy) * (y - my)) / (vx * vy - xy * xy)", 5)}
+        END AS predicted FROM g JOIN e USING (user_id)""",
+)
+def two_column_forecast(t: Tables) -> DataFrame:
+    """Both columns, two steps ahead, from the last value of both."""
+    out = horizons.horizon_forecast(
+        _two_columns(t), BY_USER, IN_TIME, ["value", "k"], lags=1, horizon=2
+    )
+    return rounded(out.drop("sse"), "predicted", digits=5)
+
+
+@query("day_ahead_forecast", "F6 F5")
+def day_ahead_forecast(t: Tables) -> DataFrame:
+    """Hourly mean and count, 24 hours ahead, from the last 60 hours of both."""
+    hours = resample.resample(
+        t.events, [], "ts", "hour", {"mean": F.avg("value"), "n": F.count(F.lit(1))}
+    )
+    return horizons.horizon_forecast(hours, [], ["bucket"], ["mean", "n"], lags=60, horizon=24)
+
+
 @query("direct_multi_horizon_three_lags", "F6 F5")
 def direct_multi_horizon_three_lags(t: Tables) -> DataFrame:
     return forecast.direct_multi_horizon(series(t), BY_USER, IN_TIME, "value", 3, 6)

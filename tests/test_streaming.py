@@ -1,15 +1,16 @@
 import datetime as dt
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import minute
 from tidemark.operators import profile, text
-from tidemark.operators.ordering import Frames
 from tidemark.session import scratch
-from tidemark.streaming import run, sources, windows
-from tidemark.streaming.tail import TailWindows
+from tidemark.streaming import rows as row_state
+from tidemark.streaming import run, sources, totals, windows
 
 SCHEMA = "host string, ts timestamp_ntz, id long, value double"
 
@@ -114,58 +115,119 @@ def test_deduplication(spark, places):
     assert sorted(r.id for r in got) == [1, 4, 12, 31, 45]
 
 
-@pytest.mark.parametrize("limit", [None, "5"])
-def test_row_windows_over_batches_equal_batch(spark, places, limit):
-    """One hot series, a late row, arrival order unlike time order; also in chunks."""
+def test_end_marker_closes_every_window(spark, places):
     arrivals, out, checkpoint = places
-    if limit:
-        spark.conf.set("tidemark.rowsPerTask", limit)
-    try:
-        rows = [("a", minute(i), i, float(i * i % 7)) for i in range(24)]
-        rows += [("b", minute(i), 100 + i, float(i)) for i in range(3)]
-        late = ("a", minute(1), 1000, 5.0)
-        parts = [rows[9::-1] + rows[24:25], rows[10:17] + [late], rows[17:24][::-1] + rows[25:]]
-
-        def compute(df):
-            frames = Frames(df, ["host"], ["ts", "id"], before=3)
-            mean = F.avg("value").over(frames.rows(-3, -1))
-            n = F.count(F.lit(1)).over(frames.rows(-3, -1))
-            new = frames.finish(frames.df.withColumns({"mean": mean, "n": n})).filter("is_new")
-            return new.select("host", "ts", "id", "mean", "n")
-
-        job = TailWindows(
-            ["host"], ["ts", "id"], 3, frame(spark, rows).schema, compute, out,
-            scratch(spark, "tail"),
+    first, second, _ = slices(spark)
+    spread = [first, second, windows.end_marker(spark, first.schema, "ts")]
+    for part in spread:
+        part.write.mode("append").parquet(arrivals)
+        stream = sources.batch_stream(spark, arrivals, first.schema, None)
+        means = windows.windowed(stream, ["host"], "ts", "10 minutes", {"n": F.count(F.lit(1))}, "5 minutes")
+        run.finish(run.start_append(means, f"{out}/w", f"{checkpoint}/w"))
+        stream = sources.batch_stream(spark, arrivals, first.schema, None)
+        runs = windows.sessions(stream, ["host"], "ts", "10 minutes", {"n": F.count(F.lit(1))}, "1 minute")
+        run.finish(run.start_append(runs, f"{out}/s", f"{checkpoint}/s"))
+    got = spark.read.schema(means.schema).parquet(f"{out}/w").collect()
+    assert {(r.host, r.start.minute): r.n for r in got} == {("a", 0): 2, ("a", 10): 1, ("a", 30): 1, ("a", 40): 1}
+    got = spark.read.schema(runs.schema).parquet(f"{out}/s").collect()
+    assert sorted((r.host, r.n) for r in got) == [("a", 1), ("a", 1), ("a", 3)]
+
+
+def last_three(every, known):
+    mean = row_state.sliding(every["value"].to_numpy(float), 4, lambda v, axis: np.nansum(v[..., :-1], axis=axis))
+    n = np.minimum(np.arange(len(every)), 3)
+    return pd.DataFrame({"before": mean[known:], "n": n[known:]})
+
+
+MADE = "host string, ts long, id long, value double, before double, n long"
+
+
+def test_row_windows_over_batches_equal_batch(spark, places):
+    """One busy series, a late row, arrival order unlike time order, a null key."""
+    arrivals, out, checkpoint = places
+    rows = [("a", minute(i), i, float(i * i % 7)) for i in range(24)]
+    rows += [("b", minute(i), 100 + i, float(i)) for i in range(3)] + [(None, minute(5), 200 + i, 1.0) for i in range(5)]
+    late = ("a", minute(1), 1000, 5.0)
+    parts = [rows[9::-1] + rows[24:25], rows[10:17] + [late] + rows[27:29], rows[17:24][::-1] + rows[25:27] + rows[29:]]
+    for part in parts:
+        df = frame(spark, part)
+        df.write.mode("append").parquet(arrivals)
+        stream = row_state.in_micros(sources.batch_stream(spark, arrivals, df.schema, None), "ts")
+        result = row_state.row_windows(stream, ["host"], ["ts", "id"], 3, last_three, "before double, n long")
+        run.finish(row_state.start_with_late(result, out, checkpoint))
+    got = sorted((r.id, r.before, r.n) for r in run.batches(spark, out, MADE).collect())
+    want = []
+    for host in ("a", "b", None):
+        own = sorted(r for r in rows if r[0] == host)
+        for i, r in enumerate(own):
+            before = [x[3] for x in own[max(0, i - 3) : i]]
+            want.append((r[2], float(sum(before)), len(before)))
+    assert got == sorted(want)
+    kept_late = run.batches(spark, f"{out}/late", MADE).collect()
+    assert [(r.id, r.batch_id) for r in kept_late] == [(1000, 1)]
+
+
+def test_a_batch_touches_only_its_own_series(spark, places):
+    arrivals, out, checkpoint = places
+    hosts = [f"h{i}" for i in range(40)]
+    for batch, own in enumerate((hosts, hosts[:2])):
+        df = frame(spark, [(h, minute(batch), batch, 1.0) for h in own])
+        df.write.mode("append").parquet(arrivals)
+        stream = row_state.in_micros(sources.batch_stream(spark, arrivals, df.schema, None), "ts")
+        result = row_state.row_windows(stream, ["host"], ["ts", "id"], 3, last_three, "before double, n long")
+        query = run.finish(row_state.start_with_late(result, out, checkpoint))
+        (state,) = query.lastProgress["stateOperators"] if query.lastProgress["numInputRows"] else query.recentProgress[0]["stateOperators"]
+        assert state["numRowsUpdated"] <= 2 * len(own)
+    got = run.batches(spark, out, MADE).filter("batch_id = 1").collect()
+    assert sorted((r.host, r.n) for r in got) == [("h0", 1), ("h1", 1)]
+
+
+def test_idle_series_lose_their_state(spark, places):
+    arrivals, out, checkpoint = places
+    at = dt.datetime(2021, 3, 1)
+    parts = [[("a", at, 1, 1.0), ("b", at, 2, 1.0)], [("b", at + dt.timedelta(hours=5), 3, 1.0)], [("a", at + dt.timedelta(hours=6), 4, 1.0), ("b", at + dt.timedelta(hours=6), 5, 1.0)]]
+    for part in parts:
+        df = frame(spark, part)
+        df.write.mode("append").parquet(arrivals)
+        stream = sources.batch_stream(spark, arrivals, df.schema, None)
+        stream = row_state.in_micros(stream.withColumn("at", F.col("ts").cast("timestamp")), "ts")
+        result = row_state.row_windows(
+            stream, ["host"], ["ts", "id"], 3, last_three, "before double, n long", ts="at", delay="1 minute", idle_ms=3_600_000
         )
-        for part in parts:
-            df = frame(spark, part)
-            df.write.mode("append").parquet(arrivals)
-            run.finish(job.start(sources.batch_stream(spark, arrivals, df.schema, None), checkpoint))
-        got = run.batches(spark, out, "host string, ts timestamp_ntz, id long, mean double, n long")
-        stream_rows = sorted((r.id, r.mean, r.n) for r in got.collect())
-        whole = compute(frame(spark, rows).withColumn("is_new", F.lit(True)))
-        assert stream_rows == sorted((r.id, r.mean, r.n) for r in whole.collect())
-        kept_late = run.batches(spark, f"{out}/late", SCHEMA).collect()
-        assert [(r.id, r.batch_id) for r in kept_late] == [(1000, 1)]
-    finally:
-        spark.conf.unset("tidemark.rowsPerTask")
-
-
-def test_repeated_batch_gives_the_same_result(spark, places):
-    _, out, _ = places
-    rows = [("a", minute(i), i, float(i)) for i in range(6)]
-
-    def compute(df):
-        frames = Frames(df, ["host"], ["ts", "id"], before=2)
-        n = F.sum("value").over(frames.rows(-2, 0))
-        return frames.finish(frames.df.withColumn("total", n)).filter("is_new").select("id", "total")
-
-    job = TailWindows(["host"], ["ts", "id"], 2, frame(spark, rows).schema, compute, out,
-                      scratch(spark, "tail"))
-    job.process(frame(spark, rows[:3]), 0)
-    job.process(frame(spark, rows[3:]), 1)
-    job.process(frame(spark, rows[3:]), 1)
-    got = run.batches(spark, out, "id long, total double").collect()
-    assert sorted((r.id, r.total) for r in got) == [
-        (0, 0.0), (1, 1.0), (2, 3.0), (3, 6.0), (4, 9.0), (5, 12.0),
-    ]
+        run.finish(row_state.start_with_late(result, out, checkpoint))
+    got = {r.id: r.n for r in run.batches(spark, out, MADE).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 2}  # "a" starts anew; the timer of "b" was put off
+
+
+def test_running_totals_stay_bounded(spark, places, tmp_path):
+    out = str(tmp_path / "totals")
+    sums = totals.RunningTotals(
+        spark, out, ["word"], {"n": ("sum", F.count(F.lit(1))), "least": ("min", F.min("x")), "most": ("max", F.max("x"))}, merge_every=2
+    )
+    seen: list = []
+    sizes = []
+    for batch in range(9):
+        rows = [(None if i % 5 == 0 else f"w{i % 4}", batch * i) for i in range(10)]
+        seen += rows
+        df = spark.createDataFrame(rows, "word string, x long").coalesce(1)
+        sums.process(df, batch)
+        if batch in (3, 4):
+            sums.process(df, batch)  # a repeated batch changes nothing
+        want = {}
+        for w in {w for w, _ in seen}:
+            own = [x for v, x in seen if v == w]
+            want[w] = (len(own), min(own), max(own))
+        assert {r.word: (r.n, r.least, r.most) for r in sums.read().collect()} == want
+        sizes.append(sum(1 for p in (tmp_path / "totals").rglob("*") if p.is_dir()))
+    assert sizes[4] == sizes[8]
+
+
+def test_running_totals_of_a_stream(spark, places):
+    arrivals, out, checkpoint = places
+    sums = totals.RunningTotals(spark, out, ["host"], {"n": ("sum", F.count(F.lit(1)))}, merge_every=3)
+    for part in slices(spark):
+        part.write.mode("append").parquet(arrivals)
+        run.finish(sums.start(sources.batch_stream(spark, arrivals, part.schema, None), checkpoint))
+    assert [tuple(r) for r in sums.read().collect()] == [("a", 7)]
+    with pytest.raises(ValueError):
+        totals.RunningTotals(spark, out, ["host"], {"n": ("mean", F.count(F.lit(1)))})

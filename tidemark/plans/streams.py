@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,14 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.rounding import r as rd
 from tidemark.functions.rounding import rounded
 from tidemark.operators import anomaly, profile, text
-from tidemark.operators.ordering import Frames
 from tidemark.operators.windows import next_step_time
 from tidemark.plans.registry import Tables, query, r
 from tidemark.plans.windowing import BY_USER, IN_TIME, SQL_ORDER
 from tidemark.session import scratch
 from tidemark.sources.files import alert_line
-from tidemark.streaming import run, sources, windows
-from tidemark.streaming.tail import TailWindows
+from tidemark.streaming import rows, run, sources, totals, windows
 
 
 def replay(
@@ -87,11 +87,11 @@ def stream_word_count_per_batch(t: Tables) -> DataFrame:
 )
 def stream_keyed_count_per_batch(t: Tables) -> DataFrame:
     arrivals, out, checkpoint = _places(t)
-    rows = t.lineitem.select("l_partkey", "l_linenumber")
-    slices = [rows.filter(F.col("l_linenumber") % 2 == i) for i in range(2)]
+    items = t.lineitem.select("l_partkey", "l_linenumber")
+    slices = [items.filter(F.col("l_linenumber") % 2 == i) for i in range(2)]
 
     def start() -> StreamingQuery:
-        stream = sources.batch_stream(t.spark, arrivals, rows.schema, files_per_batch=None)
+        stream = sources.batch_stream(t.spark, arrivals, items.schema, files_per_batch=None)
         running = run.start_per_batch(
             stream,
             lambda b: profile.count_by_remainder(b, "l_partkey"),
@@ -106,9 +106,6 @@ def stream_keyed_count_per_batch(t: Tables) -> DataFrame:
     return out_rows.withColumn("batch_id", F.col("batch_id").cast("int"))
 
 
-SQL_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
 def _events(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", "event_type", "ts", "value")
 
@@ -127,9 +124,10 @@ def _windowed(t: Tables, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     def result() -> DataFrame:
         return build(_event_stream(t, arrivals))
 
-    replay(_event_slices(t), arrivals, lambda: run.start_append(result(), out, checkpoint))
-    rows = t.spark.read.schema(result().schema).parquet(out)
-    return rows.withColumns(
+    end = windows.end_marker(t.spark, _events(t).schema, "ts")
+    replay([*_event_slices(t), end], arrivals, lambda: run.start_append(result(), out, checkpoint))
+    emitted = t.spark.read.schema(result().schema).parquet(out)
+    return emitted.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}
     )
 
@@ -139,7 +137,7 @@ def _windowed(t: Tables, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     "R7 A2",
     f"""SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start,
         start + INTERVAL 6 HOURS AS "end", count(*) AS n, {r("avg(value)")} AS mean FROM events
-        GROUP BY 1, 2 HAVING "end" <= {SQL_CLOSED}""",
+        GROUP BY 1, 2""",
 )
 def stream_tumbling_mean(t: Tables) -> DataFrame:
     aggs = {"n": F.count(F.lit(1)), "mean": F.avg("value")}
@@ -152,10 +150,10 @@ def stream_tumbling_mean(t: Tables) -> DataFrame:
 @query(
     "stream_sliding_count",
     "R8",
-    f"""WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')
+    """WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')
             - unnest([0, 1]) * INTERVAL 6 HOURS AS start FROM events)
     SELECT event_type, start, start + INTERVAL 12 HOURS AS "end", count(*) AS n FROM w
-        GROUP BY 1, 2 HAVING "end" <= {SQL_CLOSED}""",
+        GROUP BY 1, 2""",
 )
 def stream_sliding_count(t: Tables) -> DataFrame:
     return _windowed(
@@ -169,11 +167,11 @@ def stream_sliding_count(t: Tables) -> DataFrame:
 @query(
     "stream_sessions",
     "R9",
-    f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOURS THEN 1
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOURS THEN 1
             ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS "end", count(*) AS n FROM s
-        GROUP BY user_id, session HAVING "end" <= {SQL_CLOSED}""",
+        GROUP BY user_id, session""",
 )
 def stream_sessions(t: Tables) -> DataFrame:
     return _windowed(
@@ -200,20 +198,26 @@ def stream_deduplicated(t: Tables) -> DataFrame:
     first, second, third = _event_slices(t)
     replay([first, second, second, third], arrivals,
            lambda: run.start_append(result(), out, checkpoint))
-    rows = t.spark.read.schema(result().schema).parquet(out)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kept = t.spark.read.schema(result().schema).parquet(out)
+    return kept.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-def _tail(t: Tables, before: int, compute: Callable[[DataFrame], DataFrame], columns: str
-          ) -> DataFrame:
+def _row_windows(
+    t: Tables, before: int, compute: rows.Compute, made: str, shape: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``shape`` of every event with the columns ``made`` from the ``before`` events ahead of it."""
     arrivals, out, checkpoint = _places(t)
-    job = TailWindows(
-        BY_USER, IN_TIME, before, _events(t).schema, compute, out, scratch(t.spark, "tail")
-    )
-    replay(
-        _event_slices(t), arrivals, lambda: job.start(_event_stream(t, arrivals), checkpoint)
-    )
-    return run.batches(t.spark, out, columns).drop("batch_id")
+
+    def result() -> DataFrame:
+        events = rows.in_micros(_event_stream(t, arrivals).drop("event_type"), "ts")
+        return rows.row_windows(events, BY_USER, IN_TIME, before, compute, made)
+
+    def shaped(batch: DataFrame) -> DataFrame:
+        return shape(rows.from_micros(batch, "ts"))
+
+    replay(_event_slices(t), arrivals, lambda: rows.start_with_late(result(), out, checkpoint, shaped))
+    empty = t.spark.createDataFrame([], f"event_id long, user_id long, ts timestamp_ntz, value double, {made}")
+    return run.batches(t.spark, out, shape(empty).schema).drop("batch_id")
 
 
 @query(
@@ -223,16 +227,14 @@ def _tail(t: Tables, before: int, compute: Callable[[DataFrame], DataFrame], col
         WINDOW w AS ({SQL_ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
 )
 def stream_sliding_rows(t: Tables) -> DataFrame:
-    def compute(rows: DataFrame) -> DataFrame:
-        frames = Frames(rows, BY_USER, IN_TIME, before=4)
-        recent = frames.df.withColumn("recent", F.collect_list("value").over(frames.rows(-4, 0)))
-        return frames.finish(recent).filter("is_new").select(
-            "event_id",
-            F.size("recent").cast("long").alias("kept"),
-            rd(F.aggregate("recent", F.lit(0.0), lambda a, v: a + v)).alias("total"),
-        )
+    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
+        kept = np.minimum(np.arange(len(every)) + 1, 5)
+        total = rows.sliding(every["value"].to_numpy(float), 5, np.nansum)
+        return pd.DataFrame({"kept": kept[known:], "total": total[known:]})
 
-    return _tail(t, 4, compute, "event_id long, kept long, total double")
+    return _row_windows(
+        t, 4, compute, "kept long, total double", lambda df: df.select("event_id", "kept", rd("total").alias("total"))
+    )
 
 
 @query(
@@ -247,25 +249,47 @@ def stream_sliding_rows(t: Tables) -> DataFrame:
     FROM a WHERE abs(value - predicted) >= 30 OR predicted >= 60""",
 )
 def stream_next_step_alerts(t: Tables) -> DataFrame:
-    def compute(rows: DataFrame) -> DataFrame:
-        frames = Frames(rows, BY_USER, IN_TIME, before=12)
-        mean = F.avg("value").over(frames.rows(-12, -1))
-        scored = frames.finish(frames.df.withColumn("predicted", rd(mean))).filter("is_new")
-        alerts = anomaly.gap_or_level(scored, "value", "predicted")
+    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
+        value = every["value"].to_numpy(float)
+        total = rows.sliding(value, 12, np.nansum)
+        n = rows.sliding(np.where(np.isnan(value), np.nan, 1.0), 12, np.nansum)
+        mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+        return pd.DataFrame({"predicted": np.concatenate([[np.nan], mean[:-1]])[known:]})
+
+    def shape(df: DataFrame) -> DataFrame:
+        alerts = anomaly.gap_or_level(df.withColumn("predicted", rd("predicted")), "value", "predicted")
         return next_step_time(alerts, "ts", 3, "alert_ts").select(
             "event_id", "user_id", "alert_ts", "value", "predicted", "rule"
         )
 
-    columns = (
-        "event_id long, user_id long, alert_ts timestamp_ntz, value double, predicted double,"
-        " rule string"
-    )
-    return _tail(t, 12, compute, columns)
+    return _row_windows(t, 12, compute, "predicted double", shape)
+
+
+@query(
+    "stream_neighbour_jump_alerts",
+    "R6 N7",
+    f"""SELECT event_id, value, {r("jump")} AS jump FROM (SELECT event_id, value,
+        abs(value - lead(value) OVER ({SQL_ORDER})) AS jump FROM events)
+        WHERE round(jump, 6) >= 30""",
+)
+def stream_neighbour_jump_alerts(t: Tables) -> DataFrame:
+    """A row is alerted when its successor arrives, be it in a later batch."""
+
+    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
+        before = every.shift(1)
+        jump = (every["value"] - before["value"]).abs()
+        return pd.DataFrame({"of": before["event_id"].astype("Int64"), "was": before["value"], "jump": jump})[known:]
+
+    def shape(df: DataFrame) -> DataFrame:
+        jumps = df.withColumn("jump", rd("jump")).filter("jump >= 30")
+        return jumps.select(F.col("of").alias("event_id"), F.col("was").alias("value"), "jump")
+
+    return _row_windows(t, 1, compute, "of long, was double, jump double", shape)
 
 
 @query(
     "stream_alert_lines",
-    "S9 R6 N7",
+    "S9",
     """SELECT '[' || strftime(ts, '%Y/%m/%d_%H:%M:%S') || ']' || value::VARCHAR AS value
        FROM events WHERE value >= 60""",
 )
@@ -284,13 +308,32 @@ def stream_alert_lines(t: Tables) -> DataFrame:
 @query(
     "stream_running_word_count",
     "S8 R1 T1",
-    """SELECT role, count(*) AS n FROM conversations GROUP BY role""",
+    """SELECT unnest(string_split(text, ' ')) AS word, count(*) AS n FROM conversations GROUP BY 1""",
 )
 def stream_running_word_count(t: Tables) -> DataFrame:
-    """Running totals (complete mode) of a stream read straight from the table's folder."""
+    """Words of all messages so far, after five batches and two merges."""
+    arrivals, out, checkpoint = _places(t)
+    talks = t.conversations.select("turn", "text")
+    sums = totals.RunningTotals(t.spark, out, ["word"], {"n": ("sum", F.count(F.lit(1)))}, merge_every=2)
+
+    def start() -> StreamingQuery:
+        stream = sources.batch_stream(t.spark, arrivals, talks.schema, files_per_batch=None)
+        words = stream.select(F.explode(F.split("text", " ", -1)).alias("word"))
+        return sums.start(words, checkpoint)
+
+    replay([talks.filter(F.pmod("turn", F.lit(5)) == i) for i in range(5)], arrivals, start)
+    return sums.read()
+
+
+@query(
+    "stream_table_role_count",
+    "S8",
+    "SELECT role, count(*) AS n FROM conversations GROUP BY role",
+)
+def stream_table_role_count(t: Tables) -> DataFrame:
+    """Messages by role, of a stream read straight from the table's folder."""
     _, out, checkpoint = _places(t)
     stream = sources.table_stream(t.spark, t.folder, "conversations")
-    totals = stream.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    query_ = run.finish(run.start_totals(totals, out, checkpoint))
-    last = query_.lastProgress["batchId"]
-    return t.spark.read.schema(totals.schema).parquet(f"{out}/slot={last % 2}/batch={last}")
+    sums = totals.RunningTotals(t.spark, out, ["role"], {"n": ("sum", F.count(F.lit(1)))})
+    run.finish(sums.start(stream, checkpoint))
+    return sums.read()

@@ -44,19 +44,6 @@ def start_text_append(stream: DataFrame, out: str, checkpoint: str, every: str |
     return _start(writer, checkpoint, every)
 
 
-def start_totals(stream: DataFrame, out: str, checkpoint: str, every: str | None = None
-                 ) -> StreamingQuery:
-    """Rewrite the running totals of a streaming aggregation after each batch.
-
-    Batches alternate between two folders, so a reader always finds a whole one.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/slot={batch_id % 2}/batch={batch_id}")
-
-    return _start(stream.writeStream.outputMode("complete").foreachBatch(write), checkpoint, every)
-
-
 def start_console(stream: DataFrame, every: str, rows: int = 10) -> StreamingQuery:
     """Print the first rows of each batch."""
     writer = stream.writeStream.format("console").option("numRows", rows)

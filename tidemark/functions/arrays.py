@@ -42,24 +42,6 @@ def median_of_sorted(items: Column) -> Column:
     return (low + high) / 2
 
 
-def median_and_mad(items: Column) -> Column:
-    """Struct (median, mad): the deviations are taken from the items' own median."""
-
-    def spread(ordered: Column, middle: Column) -> Column:
-        gaps = F.sort_array(F.transform(ordered, lambda v: F.abs(v - middle)))
-        return let(gaps, median_of_sorted)
-
-    return let(
-        F.sort_array(items),
-        lambda ordered: let(
-            median_of_sorted(ordered),
-            lambda middle: F.struct(
-                middle.alias("median"), spread(ordered, middle).alias("mad")
-            ),
-        ),
-    )
-
-
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two equally long arrays."""
     gaps = F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double"))

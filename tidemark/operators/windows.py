@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import let, median_and_mad, quantile_of_sorted
+from tidemark.functions.arrays import let, quantile_of_sorted
+from tidemark.operators import orderstat
 from tidemark.operators.ordering import Frames, Order
 
 
@@ -152,29 +153,12 @@ def rolling_median_mad(
 
     The deviations are taken from the window's own median. ``closed="both"`` adds
     the row i+w. ``rows_in_window`` and ``rows_around`` (over [i-w, i+w]) tell how
-    complete the window is; nulls are left out of the statistics and counted in
+    complete the window is; nulls (and NaN) are left out of the statistics and counted in
     ``nulls_in_window``.
     """
     if closed not in ("left", "both"):
         raise ValueError(f"unknown closed side {closed!r}")
-    frames = Frames(df, keys, order, before=w, after=w)
-    window = frames.rows(-w, w if closed == "both" else w - 1)
-    rows = frames.df.withColumns(
-        {
-            "_items": F.collect_list(value).over(window),
-            "rows_in_window": F.count(F.lit(1)).over(window),
-            "rows_around": F.count(F.lit(1)).over(frames.rows(-w, w)),
-        }
-    )
-    rows = frames.finish(rows)
-    rows = rows.withColumn("_stats", median_and_mad(F.col("_items")))
-    return rows.withColumns(
-        {
-            "median": F.col("_stats.median"),
-            "mad": F.col("_stats.mad"),
-            "nulls_in_window": F.col("rows_in_window") - F.size("_items"),
-        }
-    ).drop("_items", "_stats")
+    return orderstat.rolling_median_mad(df, keys, order, value, w, w if closed == "both" else w - 1, w)
 
 
 def rolling_percentiles(

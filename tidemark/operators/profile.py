@@ -10,23 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import attach, exact_quantiles, match, running_total
+from tidemark.operators.radix import table_quantiles
 
 
 def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles, a row per column."""
+    """Count, mean, sample deviation, extremes and exact quartiles, a row per column.
+
+    The moments of all columns are one wide aggregate; without keys the quartiles take four scans."""
     by = [*keys, "column"]
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    moments = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"),
+        )
+        for c, x in numbers.items()
+    ]
+    rows = df.groupBy(*keys).agg(F.array(*moments).alias("_all"))
+    rows = rows.select(*keys, F.explode("_all").alias("_one")).select(*keys, "_one.*")
+    if not keys:
+        found = table_quantiles(df, columns, [0.25, 0.5, 0.75])
+        names = F.array(*[F.lit(c) for c in columns])
+        at = F.array_position(names, F.col("column")) - 1
+        return rows.withColumns(
+            {
+                name: F.get(F.array(*[F.lit(q[i]).cast("double") for q in found]), at.cast("int"))
+                for i, name in enumerate(("q25", "q50", "q75"))
+            }
+        )
+    long = df.select(*keys, *[x.alias(c) for c, x in numbers.items()]).unpivot(
         list(keys), list(columns), "column", "value"
     )
-    moments = long.groupBy(*by).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     quartiles = exact_quantiles(long, by, "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return match(moments, quartiles, by)
+    return match(rows, quartiles, by)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

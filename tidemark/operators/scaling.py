@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let, median_of_sorted, quantile_of_sorted
 from tidemark.operators.ordering import Frames, Order, attach, exact_quantiles
+from tidemark.operators.radix import table_quantiles
 
 MODES = ("minmax", "robust", "standard")
 
@@ -35,6 +36,15 @@ def fit(
         raise ValueError(f"unknown scaling mode {mode!r}")
     keys = list(keys)
     rows = df if where is None else df.filter(where)
+    if mode == "robust" and not keys:
+        stats = []
+        for c, (a, m, b) in zip(columns, table_quantiles(rows, columns, [0.25, 0.5, 0.75]), strict=True):
+            width = None if a is None else (b - a if b != a else 1.0)
+            stats += [
+                F.lit(m).cast("double").alias(f"{c}_center"), F.lit(width).cast("double").alias(f"{c}_scale"),
+                F.lit(0.0).alias(f"{c}_low"),
+            ]
+        return df.sparkSession.range(1).select(*stats)
     if mode == "robust":
         long = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
             keys, list(columns), "_column", "_value"

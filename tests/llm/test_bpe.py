@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+from array import array
 
 import numpy as np
 import pytest
@@ -18,6 +20,11 @@ def model():
     return bpe.load_model(P.path("byte_bpe_50k.json"))
 
 
+@pytest.fixture(scope="module")
+def table(model):
+    return bpe.MergeTable.from_json(model)
+
+
 @pytest.fixture(scope="module")
 def library():
     t = TOKENIZERS.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -157,3 +164,20 @@ def test_operator(spark, model, library):
     with pytest.raises(ValueError):
         bpe.encode(df, model, ["doc_id", "ids"])
     assert bpe.digests(df.limit(0), model).collect() == []
+
+
+def test_words_merged_side_by_side_are_those_merged_alone(table):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh éü漢🙂 1.'") for _ in range(rng.randint(1, 24))).encode() for _ in range(3_000)] + [b"a", b"the", b"  "]
+    assert table.merge_many(words) == [array("i", table.merge(w)).tobytes() for w in words]
+    assert table.merge_many([]) == []
+
+
+def test_frequent_words_outlive_rare_ones(table, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    words = bpe.Words(table)
+    merged = []
+    monkeypatch.setattr(table, "merge", lambda w, merge=table.merge: (merged.append(w), merge(w))[1])
+    for i in range(400):
+        assert words[" often"] and words[f" rare{i}"]
+    assert merged.count(b" often") == 1 and len(words) <= 50

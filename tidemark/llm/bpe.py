@@ -26,9 +26,11 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,9 +42,11 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 PIECE = 1 << 15  # characters given to the scanner at once
 LONG_RUN = 1 << 12  # a pretoken this long is passed on before its end is seen
-KNOWN_WORDS = 200_000  # remembered pretokens of a worker
+KNOWN_WORDS = 200_000  # remembered pretokens of a worker, in each of two generations
 KNOWN_CHARS = 64  # longer pretokens are not remembered
 ROWS_AT_ONCE = 256
+NO_MERGE = 1 << 62
+SIDE_BY_SIDE = 24  # characters of a pretoken that is merged together with others
 UNSETTLED = 3  # characters that decide a contraction or the end of white space
 
 
@@ -61,6 +65,10 @@ class MergeTable:
         self.special = special
         self.base = {t[0]: i for i, t in tokens.items() if len(t) == 1 and i not in special.values()}
         self.rank = {(a << 32) | b: (r, c) for r, (a, b, c) in reversed(list(enumerate(merges)))}
+        self.code = {pair: (r << 32) | c for pair, (r, c) in self.rank.items()}  # of the pairs that merge, by rank
+        self.pairs = np.array(sorted(self.code), np.int64)
+        self.pair_codes = np.array([self.code[int(p)] for p in self.pairs], np.int64)
+        self.bytes_to_ids = np.array([self.base.get(i, -1) for i in range(256)], np.int64)
         self.longest = max((len(tokens[c]) for _, _, c in merges), default=1)
         self.lookahead = self.longest + self._chain(merges)
         self.window = 2 * self.lookahead + self.longest
@@ -100,21 +108,69 @@ class MergeTable:
         ids = list(map(self.base.__getitem__, word))
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = (1 << 60, 0), -1
-            a = ids[0]
-            for i in range(1, len(ids)):
-                b = ids[i]
-                found = rank.get((a << 32) | b)
-                if found is not None and found < best:
-                    best, at = found, i
-                a = b
-            if at < 0:
-                break
-            ids[at - 1 : at + 1] = [best[1]]
+        found = self.code.get
+        codes = [found((a << 32) | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        while codes and (best := min(codes)) < NO_MERGE:
+            i = codes.index(best)
+            ids[i : i + 2] = (best & 0xFFFFFFFF,)
+            del codes[i]
+            if i:
+                codes[i - 1] = found((ids[i - 1] << 32) | ids[i], NO_MERGE)
+            if i < len(codes):
+                codes[i] = found((ids[i] << 32) | ids[i + 1], NO_MERGE)
         return ids
 
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Codes of the pairs, NO_MERGE for those that do not merge (ids below 0 are no tokens)."""
+        pair = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (a >= 0) & (b >= 0), self.pair_codes[at], NO_MERGE)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of short words side by side, as packed 32-bit ids: one merge of every word a round."""
+        if not words or not len(self.pairs):
+            return [array("i", self.merge(w)).tobytes() for w in words]
+        size = np.array([len(w) for w in words])
+        width = int(size.max(initial=1))
+        ids = np.full((len(words), width), -1, np.int64)
+        ids[np.arange(width) < size[:, None]] = self.bytes_to_ids[np.frombuffer(b"".join(words), np.uint8)]
+        codes = self._lookup(ids[:, :-1], ids[:, 1:])
+        done = np.empty(len(words), object)
+        rows = np.arange(len(words))
+        while len(rows):
+            at = codes.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
+            every = np.arange(len(rows))
+            best = codes[every, at] if width > 1 else np.full(len(rows), NO_MERGE)
+            over = best == NO_MERGE
+            if over.any():
+                ended = ids[over]
+                ends = np.cumsum((ended >= 0).sum(axis=1)) * 4
+                packed = ended[ended >= 0].astype(np.int32).tobytes()
+                done[rows[over]] = [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+                rows, ids, codes, at, best = rows[~over], ids[~over], codes[~over], at[~over], best[~over]
+                every = np.arange(len(rows))
+            if not len(rows):
+                break
+            # the merged pair becomes one place and what follows moves up by one
+            ids[every, at] = best & 0xFFFFFFFF
+            place = np.arange(width)
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, source, 1)
+            ids[:, -1] = -1
+            codes = np.take_along_axis(codes, np.minimum(place[:-1] + (place[:-1] >= at[:, None]), width - 2), 1)
+            codes[:, -1] = NO_MERGE
+            width = max(1, int((ids >= 0).any(axis=0).sum()))
+            ids, codes = ids[:, :width], codes[:, : width - 1]
+            if width == 1:
+                continue
+            left = np.maximum(at - 1, 0)
+            before = self._lookup(ids[every, left], ids[every, left + 1])
+            codes[every, left] = np.where(at > 0, before, codes[every, left])
+            right = np.minimum(at, width - 2)
+            after = self._lookup(ids[every, right], ids[every, right + 1])
+            codes[every, right] = np.where(at <= width - 2, after, codes[every, right])
+        return done.tolist()
+
     def _merge_long(self, ids: list[int | None]) -> list[int]:
         rank, n = self.rank, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -170,24 +226,47 @@ class WordTransducer:
 
 
 class Words(dict):
-    """Pretoken -> its tokens as packed 32-bit ids, made on demand and bounded."""
+    """Pretoken -> its tokens as packed 32-bit ids, made on demand and bounded.
+
+    Two generations: a full one becomes the older one, whose words come back when they are met again, so
+    frequent words outlive any number of rare ones."""
 
     def __init__(self, table: MergeTable):
         super().__init__()
-        self.table = table
+        self.older: dict[str, bytes] = {}
+        self.inner = WordTransducer(table)
 
     def __missing__(self, word: str) -> bytes:
-        out: list[int] = []
-        transducer = WordTransducer(self.table)
-        transducer.push(word.encode(), out)
-        transducer.close(out)
-        packed = b"".join(i.to_bytes(4, "little") for i in out)
-        if len(word) <= KNOWN_CHARS:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = packed
+        packed = self.older.get(word)
+        if packed is None:
+            out: list[int] = []
+            self.inner.push(word.encode(), out)
+            self.inner.close(out)
+            packed = array("i", out).tobytes()
+            if len(word) > KNOWN_CHARS:
+                return packed
+        self.keep(word, packed)
         return packed
 
+    def keep(self, word: str, packed: bytes) -> None:
+        if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
+
+    def learn(self, words: list[str]) -> None:
+        """Merge the short ones of ``words`` that are not known, all together, in groups of like length."""
+        older = self.older
+        unseen: dict[int, list[str]] = {}
+        for word in {w for w in words if w not in self}:
+            if word in older:
+                self.keep(word, older[word])
+            elif len(word) <= SIDE_BY_SIDE:
+                unseen.setdefault(len(word) // 6, []).append(word)
+        for group in unseen.values():
+            for word, packed in zip(group, self.inner.table.merge_many([w.encode() for w in group])):
+                self.keep(word, packed)
+
 
 class StreamEncoder:
     """Text pieces in, packed ids out, as soon as no further input can change them."""
@@ -307,10 +386,18 @@ class Codec:
         self.scan = regex.compile(PRETOKEN)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(text) <= PIECE and not any(s in text for s in self.table.special):
-            return b"".join(map(self.words.__getitem__, self.scan.findall(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; new pretokens of all short texts are merged together."""
+        cut = [None if self._streamed(t) else self.scan.findall(t or "") for t in texts]
+        self.words.learn([w for words in cut if words for w in words])
+        return [self._stream(t) if words is None else b"".join(map(self.words.__getitem__, words)) for t, words in zip(texts, cut)]
+
+    def _streamed(self, text: str | None) -> bool:
+        return bool(text) and (len(text) > PIECE or any(s in text for s in self.table.special))
+
+    def _stream(self, text: str) -> bytes:
         encoder = StreamEncoder(self.table, self.words)
         out = [encoder.feed(text[at : at + PIECE]) for at in range(0, len(text), PIECE)]
         return b"".join(out) + encoder.finish()
@@ -350,8 +437,6 @@ def _mapped(df: DataFrame, keep: list[str], source: str, new: list[StructField],
 
 
 def _id_lists(packed: list[bytes]) -> pa.ListArray:
-    import numpy as np
-
     ends = np.zeros(len(packed) + 1, np.int32)
     np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
     values = np.frombuffer(b"".join(packed), np.int32)
@@ -367,15 +452,13 @@ def encode(df: DataFrame, model: bytes, keep: list[str], text: str = "text") ->
 
     def make(texts: pa.Array) -> list[pa.Array]:
         own = codec(model)
-        return [_id_lists([own.encode(t) for t in texts.to_pylist()])]
+        return [_id_lists(own.encode_all(texts.to_pylist()))]
 
     return _mapped(df, keep, text, [IDS], make)
 
 
 def decode(df: DataFrame, model: bytes, keep: list[str], ids: str = "ids") -> DataFrame:
     """``keep`` and ``decoded``: the text of each id list; a null list decodes to an empty text."""
-    import numpy as np
-
     def make(lists: pa.Array) -> list[pa.Array]:
         own = codec(model)
         texts = [own.decode(np.asarray([i for i in x or [] if i is not None], np.int64)) for x in lists.to_pylist()]
@@ -386,11 +469,9 @@ def decode(df: DataFrame, model: bytes, keep: list[str], ids: str = "ids") -> Da
 
 def round_trip(df: DataFrame, model: bytes, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``ids`` and ``decoded``: both transducers in one pass, decoding from the ids made."""
-    import numpy as np
-
     def make(texts: pa.Array) -> list[pa.Array]:
         own = codec(model)
-        packed = [own.encode(t) for t in texts.to_pylist()]
+        packed = own.encode_all(texts.to_pylist())
         back = [own.decode(np.frombuffer(p, np.int32)) for p in packed]
         return [_id_lists(packed), pa.array(back, pa.string())]
 

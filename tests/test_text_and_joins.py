@@ -223,3 +223,26 @@ def test_report(spark):
     assert got[1] == (2 / 3, 1.0, 0.8, 2)
     assert got[2] == (0.0, 0.0, 0.0, 1)
     assert score.accuracy(df, "y", "p").first().accuracy == 0.6
+
+
+def test_sequences_of_a_large_index_are_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b A a, c"), (2, None), (3, ""), (1, "c c b z"), (4, "É é b")], "doc long, text string")
+    index = text.word_index(docs, "text", 5)
+
+    def got():
+        return sorted((r.doc, r.ids) for r in text.to_sequences(docs, index, "doc", "text").collect())
+
+    sent = got()
+    assert len(sent) == 5 and [ids for doc, ids in sent if doc in (2, 3)] == [[], []]
+    plan = text.to_sequences(docs, index, "doc", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr(text, "DICTIONARY_BYTES", 10)
+    assert got() == sent
+
+
+def test_ngrams_of_short_and_missing_token_lists(spark):
+    rows = [(1, ["a", "b", "c", "d"]), (1, ["a", "b"]), (2, []), (2, None), (2, ["a", "b", "c"])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    got = {(r.k, r.word): r.n for r in text.ngram_count(df, "tokens", 3, ["k"]).collect()}
+    assert got == {(1, "a b c"): 1, (1, "b c d"): 1, (2, "a b c"): 1}
+    assert {r.word: r.n for r in text.ngram_count(df, "tokens", 1).collect()} == {"a": 3, "b": 3, "c": 2, "d": 1}

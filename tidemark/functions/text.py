@@ -36,17 +36,21 @@ SEPARATORS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
 def words(text: Column) -> Column:
     """Words between runs of white space, no empty ones."""
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{WHITESPACE}]+"), "")
 
 
 def lower_words(text: Column) -> Column:
     return words(F.lower(text))
 
 
+def separated(text: Column) -> Column:
+    """Lower-case text whose separators became spaces."""
+    return F.translate(F.lower(text), SEPARATORS, " " * len(SEPARATORS))
+
+
 def separated_words(text: Column) -> Column:
     """Lower-case words between spaces after separators became spaces."""
-    spaced = F.translate(F.lower(text), SEPARATORS, " " * len(SEPARATORS))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(separated(text), " "), "")
 
 
 def words_and_punctuation(text: Column) -> Column:

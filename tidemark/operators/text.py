@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,8 +72,12 @@ def top_with_percent(
 def ngram_count(
     df: DataFrame, tokens: str, n: int = 3, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts of n-grams inside each document."""
-    return count_tokens(df, fn.ngrams(F.col(tokens), n), by)
+    """Counts of n-grams inside each document: the tokens zipped with themselves, moved on by 1 .. n-1."""
+    shifted = [F.slice(tokens, i + 1, F.greatest(F.size(tokens) - i, F.lit(0))).alias(f"t{i}") for i in range(n)]
+    grams = df.select(*by, F.explode_outer(F.arrays_zip(*shifted)).alias("_g"))
+    grams = grams.filter(F.col(f"_g.t{n - 1}").isNotNull())  # the zip is as long as the tokens
+    word = F.concat_ws(" ", *[F.col(f"_g.t{i}") for i in range(n)]).alias("word")
+    return grams.groupBy(*by, word).agg(F.count(F.lit(1)).alias("n"))
 
 
 def clean_text(df: DataFrame, column: str) -> DataFrame:
@@ -99,12 +105,39 @@ def to_sequences(
 ) -> DataFrame:
     """Ids of the known words of each document, in text order; unknown words go.
 
-    Spark broadcasts the index while it is below its threshold; beyond that, AQE
-    splits the partitions of the very frequent words.
+    The index is read once. If its words are within ``DICTIONARY_BYTES`` they go to every worker, which
+    encodes whole texts in place: no token is shuffled. A larger index is joined to the tokens.
     """
-    tokens = df.select(doc, F.posexplode_outer(fn.separated_words(F.col(text))).alias("_at", "word"))
+    size = F.sum(F.octet_length("word") + 64)
+    index = index.persist()
+    try:
+        if (index.agg(size.alias("n")).first()["n"] or 0) > DICTIONARY_BYTES:
+            return _joined_sequences(df, index, doc, text, out)
+        words = {r["word"]: r["id"] for r in index.select("word", "id").collect()}
+    finally:
+        index.unpersist()
+
+    def encode(texts: pa.Array) -> pa.Array:
+        get = words.get
+        flat, ends = array("i"), array("q", [0])
+        for t in texts.to_pylist():
+            flat.extend(i for i in map(get, t.split(" ")) if i is not None)
+            ends.append(len(flat))
+        return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+
+    ids = F.arrow_udf(encode, "array<int>")
+    return df.select(doc, ids(F.coalesce(fn.separated(F.col(text)), F.lit(""))).alias(out))
+
+
+#: Bytes of an index that is sent to the workers.
+DICTIONARY_BYTES = 64 << 20
+
+
+def _joined_sequences(df: DataFrame, index: DataFrame, doc: str, text: str, out: str) -> DataFrame:
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), doc, fn.separated_words(F.col(text)).alias("_words"))
+    tokens = rows.select("_row", doc, F.posexplode_outer("_words").alias("_at", "word"))
     spotted = F.when(F.col("id").isNotNull(), F.struct("_at", "id"))
-    found = tokens.join(index, "word", "left").groupBy(doc).agg(
+    found = tokens.join(index, "word", "left").groupBy("_row", doc).agg(
         F.array_sort(F.collect_list(spotted)).alias("_found")
     )
     return found.select(doc, F.transform("_found", lambda s: s["id"]).alias(out))
@@ -126,5 +159,6 @@ def prepare(
     """Split, fill missing texts, index the training words, encode and pad all texts."""
     rows = hashed_split(fill_text(df, [text]), doc, share, seed)
     index = word_index(rows.filter("split = 'train'"), text, num_words)
-    ids = pad(to_sequences(rows, index, doc, text), "ids", length)
-    return ids.join(rows.select(doc, "split"), doc)
+    rows = rows.withColumn("_kept", F.struct(doc, "split"))
+    ids = pad(to_sequences(rows, index, "_kept", text), "ids", length)
+    return ids.select(F.col(f"_kept.{doc}"), "ids", "_kept.split")

@@ -124,3 +124,8 @@ def test_report(spark):
     assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got), key=repr) == sorted(want, key=repr)
     assert next(r.spans for r in got if r.doc_id == 3) == "crf_phone:5:19"
     assert pii.report(df.limit(0)).collect() == []
+
+
+def test_addresses_with_very_long_parts():
+    assert pii.base_spans("1.2.3." + "0" * 5_000) == [(0, 5_006, "ip")]
+    assert pii.base_spans("1.2.3." + "0" * 5_000 + "255 1.2.3." + "9" * 5_000) == [(0, 5_009, "ip")]

@@ -69,11 +69,17 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(digits: str) -> bool:
+    """Whether digits of any number, leading zeros among them, are 255 at most."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind."""
     out = [(s, e, "email") for s, e in _emails(text)]
     if "." in text:
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(_part(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = _NOT_DIGIT.sub("", m[0])

@@ -51,9 +51,14 @@ def chronological_split(
 def hashed_split(
     df: DataFrame, id_column: str, share: float, seed: int, out: str = "split"
 ) -> DataFrame:
-    """Seeded random split that depends on the row id only, so that it is repeatable."""
-    draw = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(10_000))
-    return df.withColumn(out, F.when(draw < int(share * 10_000), "test").otherwise("train"))
+    """Seeded random split that depends on the row id only, so that it is repeatable.
+
+    The draw is the first 32 bits of the MD5 of ``<id>:<seed>`` (a null id counts as empty text), which
+    other engines can compute too.
+    """
+    named = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    draw = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double")
+    return df.withColumn(out, F.when(draw < float(share) * 2.0**32, "test").otherwise("train"))
 
 
 def concat(*parts: DataFrame) -> DataFrame:

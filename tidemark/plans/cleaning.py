@@ -390,7 +390,13 @@ def chronological_split(t: Tables) -> DataFrame:
     return ordered.chronological_split(rows, BY_USER, IN_TIME, cuts, "test").drop("ts")
 
 
-@query("hashed_split", "X7")
+def split_sql(share: float, id_column: str = "doc_id") -> str:
+    """The split of ``ordered.hashed_split`` with seed 2019."""
+    draw = f"('0x' || substr(md5({id_column}::VARCHAR || ':2019'), 1, 8))::BIGINT"
+    return f"CASE WHEN {draw} < {share}::DOUBLE * 4294967296 THEN 'test' ELSE 'train' END"
+
+
+@query("hashed_split", "X7", f"SELECT doc_id, lang, {split_sql(0.1)} AS split FROM documents")
 def hashed_split(t: Tables) -> DataFrame:
     return ordered.hashed_split(t.documents.select("doc_id", "lang"), "doc_id", 0.1, 2019)
 

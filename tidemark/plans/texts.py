@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as fn
 from tidemark.functions.rounding import rounded
 from tidemark.operators import joins, text
+from tidemark.plans.cleaning import split_sql
 from tidemark.plans.registry import Tables, query, r
 
 
@@ -190,9 +191,27 @@ def padded_ids(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
 
 
-@query("prepared_corpus", "T14 X7")
+@query(
+    "prepared_corpus",
+    "T14 X7",
+    f"""WITH d AS (SELECT doc_id, text, {split_sql(0.1)} AS split FROM documents),
+    c AS (SELECT unnest({separated_sql('text')}) AS word, count(*) AS n FROM d
+        WHERE split = 'train' GROUP BY 1),
+    x AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM c
+        QUALIFY id <= 49999),
+    w AS (SELECT doc_id, {separated_sql('text')} AS k FROM d),
+    e AS (SELECT doc_id, unnest(k) AS word, generate_subscripts(k, 1) AS spot FROM w),
+    s AS (SELECT doc_id, id::INT AS id,
+        row_number() OVER (PARTITION BY doc_id ORDER BY e.spot) AS pos,
+        count(*) OVER (PARTITION BY doc_id) AS len FROM e JOIN x USING (word)),
+    p AS (SELECT doc_id, split, unnest(range(100)) AS pos FROM d)
+    SELECT p.doc_id, p.split, p.pos::INT AS pos, coalesce(s.id, 0) AS id FROM p LEFT JOIN s
+        ON s.doc_id = p.doc_id AND s.pos - s.len + 99 = p.pos""",
+)
 def prepared_corpus(t: Tables) -> DataFrame:
-    return text.prepare(t.documents.select("doc_id", "text"), "doc_id", "text", 50_000, 100)
+    docs = t.documents.select("doc_id", "text")
+    rows = text.prepare(docs, "doc_id", "text", 50_000, 100)
+    return rows.select("doc_id", "split", F.posexplode("ids").alias("pos", "id"))
 
 
 _CLASS_TOKENS = f"""w AS (SELECT l.toxic, {TOKENS} AS k

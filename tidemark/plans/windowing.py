@@ -209,16 +209,13 @@ def forecast_windows(t: Tables) -> DataFrame:
 @query(
     "forecast_windows_many_targets",
     "W2",
-    """WITH p AS (SELECT l_suppkey, l_quantity, l_extendedprice, l_discount,
-        row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem
+    """WITH p AS (SELECT l_suppkey, l_quantity, l_discount, row_number() OVER w - 1 AS pos,
+        count(*) OVER (PARTITION BY l_suppkey) AS n, lag(l_extendedprice, 8) OVER w AS price
+        FROM lineitem
         WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber)),
-    s AS (SELECT l_suppkey, pos AS start FROM p
-        WHERE pos >= 8 AND pos < n - 4 AND (pos - 8) % 4 = 0)
-    SELECT s.l_suppkey, s.start, (p.pos - s.start)::INT AS place,
-        p.l_quantity AS target_quantity, p.l_discount AS target_discount,
-        q.l_extendedprice AS input_price
-    FROM s JOIN p ON p.l_suppkey = s.l_suppkey AND p.pos BETWEEN s.start AND s.start + 3
-    JOIN p q ON q.l_suppkey = s.l_suppkey AND q.pos = p.pos - 8""",
+    s AS (SELECT *, pos - (pos - 8) % 4 AS start FROM p WHERE pos >= 8)
+    SELECT l_suppkey, start, (pos - start)::INT AS place, l_quantity AS target_quantity,
+        l_discount AS target_discount, price AS input_price FROM s WHERE start < n - 4""",
 )
 def forecast_windows_many_targets(t: Tables) -> DataFrame:
     features = ["l_quantity", "l_extendedprice", "l_discount"]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from tidemark.llm import licenses
@@ -9,7 +10,8 @@ TEXTS = [
     "SPDX-License-Identifier: Apache-2.0\nLicensed under the Apache License, Version 2.0", "all  RIGHTS\n* reserved all rights reserved",
     "Permission is hereby granted, free of charge, to any\n * person obtaining a copy", "École cc by É cc by", "general public licenseé",
     "https://creativecommons.org/licenses/by-nc-sa/3.0/", "the gnu lesser general public license v2.1", "plain words only here " * 5000,
-    "copyright (c) 2019 someone", "x" * 100_000 + " cc by", "İ cc by",
+    "gnu general public\n * license version 3 or later", "permission is hereby\n granted, free of\n# charge, to any person", "copyright (c) 2019 someone",
+    "released into the public\ndomain", "some rights\n reserved", "gnu general public\nlicense, version 3", "x" * 100_000 + " cc by", "İ cc by",
 ]
 
 
@@ -59,3 +61,30 @@ def test_gate_loses_nothing_and_suppression_is_by_containment():
                 kept.append(f)
         want = sorted((f[2], f[4], own.rules[f[3]].label) for f in kept)
         assert [(f.start, f.end, f.label) for f in own.detections(low)] == want
+
+
+def test_wrapped_notices_are_found():
+    own = licenses.scanner()
+    for phrase in ("gnu general public license version 3 or later", "permission is hereby granted, free of charge, to any person obtaining a copy", "released into the public domain", "some rights reserved", "gnu general public license, version 3"):
+        labels = {f.label for f in own.detections(phrase)}
+        assert labels
+        words = phrase.split(" ")
+        for i in range(1, len(words)):
+            for gap in ("\n", "\n * ", " \n# ", "\t"):
+                assert {f.label for f in own.detections(" ".join(words[:i]) + gap + " ".join(words[i:]))} >= labels, (phrase, i)
+
+
+def test_containment_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        found = [(s, s + rng.randint(1, 12)) for s in (rng.randint(0, 25) for _ in range(rng.randint(0, 30)))]
+        kept: list = []
+        want = []
+        for s, e in found:
+            free = not any(a <= s and e <= b for a, b in kept)
+            want.append(free)
+            if free:
+                kept.append((s, e))
+        assert licenses.outermost(found) == want
+    many = [(i, i + 2) for i in range(60_000)]
+    assert all(licenses.outermost(many))

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Hundreds of rules, each a regular expression over lower-cased text with a label, a priority and the
-keyword it cannot match without. One pass of an Aho-Corasick machine over the keywords of all rules
-gates them; only rules whose keyword occurs are run. Detections are then resolved in order of priority
+keyword it cannot match without. One pass of an Aho-Corasick machine over the keywords of all rules, on
+the text with its gaps folded to blanks (so a notice may wrap anywhere), gates them; only rules whose keyword occurs are run. Detections are then resolved in order of priority
 (then length, place and rule): one that lies inside a detection already accepted is suppressed. Base
 phrases are found by their words and never suppressed.
 
@@ -36,7 +36,8 @@ BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all",
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 S = r"[\s*#/;-]{1,6}"  # between words of a notice, across line ends and comment marks
-V = r"(?:,?\s?(?:version\s?|ver\.?\s?|v\.?\s?)?)"
+O = r"(?:\s?|[ \t]*\n[\s*#/;-]{0,6})"  # a blank or a wrapped line
+V = rf"(?:,?{O}(?:version{O}|ver\.?{O}|v\.?{O})?)"
 
 
 @dataclass(frozen=True)
@@ -206,6 +207,34 @@ class Found:
     weight: float
 
 
+def gate_text(text: str) -> str:
+    """``text`` with one blank for every run of blanks, line ends and comment marks, as ``S`` allows between words."""
+    return " ".join(text.translate(GAPS).split())
+
+
+GAPS = dict.fromkeys(map(ord, "*#/;-"), " ")
+
+
+def outermost(found: list[tuple[int, int]]) -> list[bool]:
+    """Whether each interval (start, end) lies in none that was accepted before it.
+
+    Largest accepted ends by start, in a tree of prefix maxima: logarithmic steps for an interval."""
+    starts = sorted({s for s, _ in found})
+    place = {s: i + 1 for i, s in enumerate(starts)}
+    tree = [-1] * (len(starts) + 1)
+    out = []
+    for s, e in found:
+        at, widest = place[s], -1
+        while at:
+            widest, at = max(widest, tree[at]), at & (at - 1)
+        out.append(widest < e)
+        if widest < e:
+            at = place[s]
+            while at < len(tree):
+                tree[at], at = max(tree[at], e), at + (at & -at)
+    return out
+
+
 class Scanner:
     def __init__(self, own: list[Rule]):
         self.rules = own
@@ -213,7 +242,7 @@ class Scanner:
         self.machine = ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for i, r in enumerate(own):
-            by_keyword.setdefault(r.keyword, []).append(i)
+            by_keyword.setdefault(gate_text(r.keyword), []).append(i)
         # a keyword that holds a shorter one is found whenever the shorter one's rules are needed
         for keyword, numbers in by_keyword.items():
             self.machine.add_word(keyword, numbers)
@@ -225,20 +254,17 @@ class Scanner:
 
     def detections(self, text: str) -> list[Found]:
         """Detections left after suppression, by place; ``text`` is lower-cased."""
-        gated = {i for _, numbers in self.machine.iter(text) for i in numbers}
+        gated = {i for _, numbers in self.machine.iter(gate_text(text)) for i in numbers}
         found = []
         for i in sorted(gated):
             r = self.rules[i]
             found += [(r.priority, m.start() - m.end(), m.start(), i, m.end()) for m in self.compiled[i].finditer(text)]
-        kept: list[Found] = []
-        reach: list[tuple[int, int]] = []  # accepted intervals, none inside another, by start
-        for priority, _, start, i, end in sorted(found):
-            at = np.searchsorted([s for s, _ in reach], start, "right") if reach else 0
-            if at and reach[at - 1][1] >= end:
-                continue
-            kept.append(Found(start, end, self.rules[i].label, priority, self.rules[i].weight))
-            widest = max([end, *(e for s, e in reach[:at])]) if at else end
-            reach.insert(at, (start, widest))
+        found.sort()
+        kept = [
+            Found(start, end, self.rules[i].label, priority, self.rules[i].weight)
+            for (priority, _, start, i, end), free in zip(found, outermost([(f[2], f[4]) for f in found]))
+            if free
+        ]
         return sorted(kept, key=lambda f: (f.start, f.end))
 
     def places(self, text: str) -> list[tuple[int, str]]:

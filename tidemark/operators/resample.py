@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import Frames, match, quantiles_of_counts
-
-UNIT_STEP = {
-    "minute": "INTERVAL '1' MINUTE",
-    "hour": "INTERVAL '1' HOUR",
-    "day": "INTERVAL '1' DAY",
-    "month": "INTERVAL '1' MONTH",
-    "year": "INTERVAL '1' YEAR",
-}
+from tidemark.operators.ranges import with_range
 
 
 def bucket(ts: str, unit: str) -> Column:
@@ -36,7 +29,8 @@ def resample(
 
     Empty buckets between the first and last one of a series get null, or the
     value named in ``empty`` (0 for sums). They are made from the gap to the next
-    bucket, so the filled result needs no second scan and no spine join.
+    bucket, so the filled result needs no second scan and no spine join, and a gap of
+    any length is generated in bounded pieces.
     """
     grouped = df.groupBy(*keys, bucket(ts, unit).alias(out)).agg(
         *[c.alias(name) for name, c in aggs.items()]
@@ -46,11 +40,10 @@ def resample(
     frames = Frames(grouped, keys, [out], after=1)
     ahead = frames.df.withColumn("_next", F.lead(out).over(frames.order))
     ahead = frames.finish(ahead)
-    steps = F.sequence(F.col(out), F.col("_next"), F.expr(UNIT_STEP[unit]))
-    run = F.when(F.col("_next").isNull(), F.array(out)).otherwise(
-        F.slice(steps, F.lit(1), F.size(steps) - 1)
-    )
-    filled = ahead.withColumn("_at", F.explode(run))
+    # a row stands for itself and the empty buckets up to the next one
+    gap = F.coalesce(F.timestamp_diff(unit.upper(), F.col(out), F.col("_next")), F.lit(1))
+    filled = with_range(ahead, gap, "_step")
+    filled = filled.withColumn("_at", F.timestamp_add(unit.upper(), F.col("_step").cast("int"), F.col(out)))
     kept = F.col("_at") == F.col(out)
     empty = empty or {}
     cols = [

@@ -19,6 +19,7 @@ from tidemark.operators.ordering import (
     match,
     numbered,
 )
+from tidemark.operators.ranges import with_range
 from tidemark.session import rows_per_task
 
 DAYS_PER_YEAR = 365.2425
@@ -144,7 +145,7 @@ def _long_spectrum(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     lengths = signal.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "n1", "n2")])
     m = F.col("n1") * F.col("n2")
-    grid = lengths.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)))
+    grid = with_range(lengths, m, "pos", spread=True)
     padded = signal.select(*keys, "pos", "n1", "n2", "re", "im").unionByName(
         grid.filter(F.col("pos") >= F.col("n")).select(
             *keys, "pos", "n1", "n2", F.lit(0.0).alias("re"), F.lit(0.0).alias("im")

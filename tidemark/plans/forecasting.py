@@ -184,15 +184,15 @@ def day_ahead_forecast(t: Tables) -> DataFrame:
 
 
 #: Centred products of three features x1..x3 and a target z, and the weights that solve them.
-_THREE_SUMS = """avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(z) AS mz,
+THREE_SUMS = """avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(z) AS mz,
         var_pop(x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, var_pop(x2) AS d,
         covar_pop(x2, x3) AS e, var_pop(x3) AS f, covar_pop(x1, z) AS u, covar_pop(x2, z) AS v,
         covar_pop(x3, z) AS w"""
-_THREE_WEIGHTS = """a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det,
+THREE_WEIGHTS = """a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det,
         (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS w1,
         (a * (v * f - w * e) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS w2,
         (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS w3"""
-_THREE_FIT = "mz + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)"
+THREE_FIT = "mz + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)"
 
 
 @query(
@@ -204,11 +204,11 @@ _THREE_FIT = "mz + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)"
     l AS (SELECT a.user_id, b.pos - a.pos AS h, a.x1, a.x2, a.x3, b.x1 AS z FROM p a JOIN p b
         ON a.user_id = b.user_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 6
         WHERE a.x3 IS NOT NULL),
-    g AS (SELECT user_id, h, {_THREE_SUMS} FROM l GROUP BY 1, 2),
-    k AS (SELECT *, {_THREE_WEIGHTS} FROM g),
+    g AS (SELECT user_id, h, {THREE_SUMS} FROM l GROUP BY 1, 2),
+    k AS (SELECT *, {THREE_WEIGHTS} FROM g),
     o AS (SELECT user_id, x1, x2, x3 FROM p
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) = 1)
-    SELECT user_id, h::INT AS h, {r(_THREE_FIT, 5)} AS predicted FROM k JOIN o USING (user_id)""",
+    SELECT user_id, h::INT AS h, {r(THREE_FIT, 5)} AS predicted FROM k JOIN o USING (user_id)""",
 )
 def direct_multi_horizon_three_lags(t: Tables) -> DataFrame:
     out = forecast.direct_multi_horizon(series(t), BY_USER, IN_TIME, "value", 3, 6)
@@ -221,9 +221,9 @@ def direct_multi_horizon_three_lags(t: Tables) -> DataFrame:
     f"""WITH {SQL_SPLIT}, l AS (SELECT event_id, user_id, split, value, value AS z,
         lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2, lag(value, 3) OVER o AS x3
         FROM d WINDOW o AS ({SQL_ORDER})),
-    g AS (SELECT user_id, {_THREE_SUMS} FROM l WHERE split = 'train' AND x3 IS NOT NULL GROUP BY 1),
-    k AS (SELECT *, {_THREE_WEIGHTS} FROM g)
-    SELECT event_id, user_id, split, value, {r(_THREE_FIT, 5)} AS predicted
+    g AS (SELECT user_id, {THREE_SUMS} FROM l WHERE split = 'train' AND x3 IS NOT NULL GROUP BY 1),
+    k AS (SELECT *, {THREE_WEIGHTS} FROM g)
+    SELECT event_id, user_id, split, value, {r(THREE_FIT, 5)} AS predicted
         FROM l JOIN k USING (user_id) WHERE x3 IS NOT NULL""",
 )
 def multi_input_step_forecast(t: Tables) -> DataFrame:

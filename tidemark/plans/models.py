@@ -28,10 +28,10 @@ from tidemark.operators import (
     windows,
 )
 from tidemark.operators.ordering import Frames
-from tidemark.plans.forecasting import _LAGGED
+from tidemark.plans.forecasting import _LAGGED, THREE_FIT, THREE_SUMS, THREE_WEIGHTS
 from tidemark.plans.registry import Tables, query, r
 from tidemark.plans.texts import SQL_STOP, _WORD_PUNCT
-from tidemark.plans.windowing import BY_USER, IN_TIME, SQL_POS, series, split_series
+from tidemark.plans.windowing import BY_USER, IN_TIME, SQL_ORDER, SQL_POS, SQL_SPLIT, series, split_series
 from tidemark.session import scratch
 
 LAGS = ["lag_1", "lag_2", "lag_3"]
@@ -72,11 +72,22 @@ def linear_model_forecast(t: Tables) -> DataFrame:
     return rounded(out.select("event_id", "predicted"), "predicted", digits=5)
 
 
-@query("multivariate_linear_forecast", "F4 F5")
+@query(
+    "multivariate_linear_forecast",
+    "F4 F5",
+    f"""WITH {SQL_SPLIT}, l AS (SELECT event_id, split, value, value AS z,
+        lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2, lag(value, 3) OVER o AS x3
+        FROM d WINDOW o AS ({SQL_ORDER})),
+    g AS (SELECT {THREE_SUMS} FROM l WHERE split = 'train' AND x3 IS NOT NULL),
+    k AS (SELECT *, {THREE_WEIGHTS} FROM g)
+    SELECT event_id, value, {r(THREE_FIT, 5)} AS predicted FROM l, k
+        WHERE split = 'test' AND x3 IS NOT NULL""",
+)
 def multivariate_linear_forecast(t: Tables) -> DataFrame:
     rows = _lags(t, 3)
     model = models.linear_model(LAGS, "value").fit(rows.filter("split = 'train'"))
-    return model.transform(rows.filter("split = 'test'")).select("event_id", "value", "predicted")
+    out = model.transform(rows.filter("split = 'test'")).select("event_id", "value", "predicted")
+    return rounded(out, "predicted", digits=5)
 
 
 @query("boosted_forecast", "F5")
@@ -277,8 +288,7 @@ def unit_root_test(t: Tables) -> DataFrame:
     return spectral.dickey_fuller(series(t), BY_USER, IN_TIME, "value", max_lags=4)
 
 
-@query("slice_attribution", "F18")
-def slice_attribution(t: Tables) -> DataFrame:
+def _attribution(t: Tables, **how) -> DataFrame:
     """Slices of each vector that hold it near the mean of its class."""
     means = profile.mean_series(t.embeddings, "label", "embedding")
     centres = profile.as_arrays(means, ["label"], "pos", "mean", "centre")
@@ -288,6 +298,26 @@ def slice_attribution(t: Tables) -> DataFrame:
         gap = squared_distance(F.col("embedding"), F.col("centre"))
         return df.withColumn("score", F.exp(-gap))
 
-    return explain.slice_weights(
-        rows, "vec_id", "embedding", closeness, slices=8, samples=64, top=5, seed=3
-    )
+    return explain.slice_weights(rows, "vec_id", "embedding", closeness, seed=3, **how)
+
+
+@query("slice_attribution", "F18")
+def slice_attribution(t: Tables) -> DataFrame:
+    return _attribution(t, slices=8, samples=64, top=5)
+
+
+@query(
+    "whole_series_attribution",
+    "F18",
+    f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
+        generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    c AS (SELECT label, pos, avg(x) AS c FROM e GROUP BY 1, 2),
+    m AS (SELECT vec_id, avg(x) AS mu FROM e GROUP BY 1),
+    s AS (SELECT vec_id, exp(-sum((x - c) * (x - c))) AS s1, exp(-sum((mu - c) * (mu - c))) AS s0,
+        63 * exp(-8.0::DOUBLE) AS v FROM e JOIN c USING (label, pos) JOIN m USING (vec_id) GROUP BY 1)
+    SELECT vec_id, 1 AS rank, 0 AS slice,
+        {r("(s1 - (s1 + v * s0) / (1 + v)) / (1 - 1 / (1 + v) + 1)", 9)} AS weight FROM s""",
+)
+def whole_series_attribution(t: Tables) -> DataFrame:
+    """One slice only: its weight has a closed form over the series itself and 63 variants without it."""
+    return rounded(_attribution(t, slices=1, samples=64, top=1), "weight", digits=9)

@@ -246,7 +246,7 @@ def linked(df: DataFrame, id: str = "vec_id", vector: str = "embedding", thresho
     rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     # adding 0.0 makes the two zeros equal
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + 0.0)))
-    rows = rows.withColumns({"hi": F.xxhash64("vector"), "lo": F.xxhash64("vector", F.lit(1))})
+    rows = rows.withColumns({"hi": F.xxhash64("vector"), "lo": F.xxhash64(F.lit(1), "vector")})
     good = rows.filter(F.col("vector").isNotNull())
     classes = good.groupBy("hi", "lo").agg(F.count("*").alias("weight"), F.min("id").alias("smallest"), F.first("vector").alias("vector"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector_classes")

@@ -57,6 +57,22 @@ def test_queue_of_batches(spark, places):
     }
 
 
+def test_table_stream_reads_files_and_folders(spark, places, tmp_path):
+    _, out, checkpoint = places
+    table = spark.range(30).selectExpr("id", "CAST(id % 3 AS int) AS part")
+    table.repartition(4).write.parquet(str(tmp_path / "flat.parquet"))
+    table.write.partitionBy("part").parquet(str(tmp_path / "parted.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (file,) = (tmp_path / "made").glob("*.parquet")
+    file.rename(tmp_path / "single.parquet")
+    spark.range(5).write.parquet(str(tmp_path / "flat.parquet.old"))
+    for name in ("flat", "parted", "single"):
+        stream = sources.table_stream(spark, str(tmp_path), name)
+        run.finish(run.start_append(stream, f"{out}/{name}", f"{checkpoint}/{name}"))
+        got = spark.read.schema(stream.schema).parquet(f"{out}/{name}").collect()
+        assert sorted((r.id, r.part) for r in got) == [(i, i % 3) for i in range(30)]
+
+
 def test_socket_reader_is_a_stream_of_lines(spark):
     stream = sources.socket_stream(spark, "localhost", 9)
     assert stream.isStreaming and stream.columns == ["value"]

@@ -31,8 +31,11 @@ def batch_stream(
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        folder
-    )
+    """A parquet table of a folder, be it one file or a folder of files, as a stream.
+
+    The path is a pattern that only the table matches: Spark lists a folder that a pattern finds, and does
+    not take a file that it finds for the base of partition columns.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("basePath", folder).parquet(f"{path[:-1]}[t]")

@@ -183,6 +183,33 @@ def test_row_windows_over_batches_equal_batch(spark, places):
     assert [(r.id, r.batch_id) for r in kept_late] == [(1000, 1)]
 
 
+def test_many_series_are_computed_as_one_block(spark, places, monkeypatch):
+    monkeypatch.setattr(row_state, "BUCKETS", 1)
+    arrivals, out, checkpoint = places
+    big = 2**60 + 1  # not exact as a double
+    keys = [big, big + 1, 5, None]
+    rows = [(keys[i % 4], minute(i), None if i % 7 == 0 else big + i, None if i % 5 == 0 else float(i)) for i in range(48)]
+
+    def compute(every, place):
+        total = row_state.sliding(every["value"].to_numpy(float), 3, np.nansum, place)
+        return pd.DataFrame({"total": total, "block": len(every)})
+
+    for part in (rows[30::-1], rows[31:]):
+        df = spark.createDataFrame(part, "host long, ts timestamp_ntz, id long, value double")
+        df.write.mode("append").parquet(arrivals)
+        stream = row_state.in_micros(sources.batch_stream(spark, arrivals, df.schema, None), "ts")
+        result = row_state.row_windows(stream, ["host"], ["ts", "id"], 2, compute, "total double, block long", whole=True)
+        run.finish(row_state.start_with_late(result, out, checkpoint))
+    found = run.batches(spark, out, "host long, ts long, id long, value double, total double, block long").collect()
+    want = []
+    for key in keys:
+        own = [r for r in rows if r[0] == key]
+        want += [(key, r[2], sum(x[3] or 0.0 for x in own[max(0, i - 2) : i + 1])) for i, r in enumerate(own)]
+    assert sorted(map(str, want)) == sorted(str((r.host, r.id, r.total)) for r in found)
+    # all series of a bucket at once; null keys have one of their own
+    assert {(r.host is None, r.block) for r in found if r.batch_id == 0} == {(False, 24), (True, 7)}
+
+
 def test_a_batch_touches_only_its_own_series(spark, places):
     arrivals, out, checkpoint = places
     hosts = [f"h{i}" for i in range(40)]

@@ -210,7 +210,7 @@ def _row_windows(
 
     def result() -> DataFrame:
         events = rows.in_micros(_event_stream(t, arrivals).drop("event_type"), "ts")
-        return rows.row_windows(events, BY_USER, IN_TIME, before, compute, made)
+        return rows.row_windows(events, BY_USER, IN_TIME, before, compute, made, whole=True)
 
     def shaped(batch: DataFrame) -> DataFrame:
         return shape(rows.from_micros(batch, "ts"))
@@ -227,10 +227,9 @@ def _row_windows(
         WINDOW w AS ({SQL_ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
 )
 def stream_sliding_rows(t: Tables) -> DataFrame:
-    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
-        kept = np.minimum(np.arange(len(every)) + 1, 5)
-        total = rows.sliding(every["value"].to_numpy(float), 5, np.nansum)
-        return pd.DataFrame({"kept": kept[known:], "total": total[known:]})
+    def compute(every: pd.DataFrame, place: np.ndarray) -> pd.DataFrame:
+        total = rows.sliding(every["value"].to_numpy(float), 5, np.nansum, place)
+        return pd.DataFrame({"kept": np.minimum(place + 1, 5), "total": total})
 
     return _row_windows(
         t, 4, compute, "kept long, total double", lambda df: df.select("event_id", "kept", rd("total").alias("total"))
@@ -249,12 +248,12 @@ def stream_sliding_rows(t: Tables) -> DataFrame:
     FROM a WHERE abs(value - predicted) >= 30 OR predicted >= 60""",
 )
 def stream_next_step_alerts(t: Tables) -> DataFrame:
-    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
+    def compute(every: pd.DataFrame, place: np.ndarray) -> pd.DataFrame:
         value = every["value"].to_numpy(float)
-        total = rows.sliding(value, 12, np.nansum)
-        n = rows.sliding(np.where(np.isnan(value), np.nan, 1.0), 12, np.nansum)
+        total = rows.sliding(value, 12, np.nansum, place)
+        n = rows.sliding(np.where(np.isnan(value), np.nan, 1.0), 12, np.nansum, place)
         mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
-        return pd.DataFrame({"predicted": np.concatenate([[np.nan], mean[:-1]])[known:]})
+        return pd.DataFrame({"predicted": np.where(place > 0, np.concatenate([[np.nan], mean[:-1]]), np.nan)})
 
     def shape(df: DataFrame) -> DataFrame:
         alerts = anomaly.gap_or_level(df.withColumn("predicted", rd("predicted")), "value", "predicted")
@@ -275,10 +274,10 @@ def stream_next_step_alerts(t: Tables) -> DataFrame:
 def stream_neighbour_jump_alerts(t: Tables) -> DataFrame:
     """A row is alerted when its successor arrives, be it in a later batch."""
 
-    def compute(every: pd.DataFrame, known: int) -> pd.DataFrame:
-        before = every.shift(1)
-        jump = (every["value"] - before["value"]).abs()
-        return pd.DataFrame({"of": before["event_id"].astype("Int64"), "was": before["value"], "jump": jump})[known:]
+    def compute(every: pd.DataFrame, place: np.ndarray) -> pd.DataFrame:
+        of = every["event_id"].astype("Int64").shift(1).where(place > 0)
+        was = every["value"].shift(1).where(place > 0)
+        return pd.DataFrame({"of": of, "was": was, "jump": (every["value"] - was).abs()})
 
     def shape(df: DataFrame) -> DataFrame:
         jumps = df.withColumn("jump", rd("jump")).filter("jump >= 30")

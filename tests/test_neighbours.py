@@ -58,6 +58,31 @@ def test_few_cells_are_visited_on_clustered_data(spark, small_cells):
     assert ranked(join.result()) == expected(rows, rows, 3, True)
 
 
+def test_evenly_spread_rows_are_sent_a_bounded_number_of_times(spark, small_cells, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_BLOCKS", 3)
+    monkeypatch.setattr(neighbours, "MOST_COPIES", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=24)], i % 5, 0.0) for i in range(400)]
+    df = frame(spark, rows)
+    join = neighbours.Join(df, df, "id", "v", "label", 3, 64, True)
+    assert join.sent == {0: 400} and join._shipped() <= 8 * 800
+    assert ranked(join.result()) == expected(rows, rows, 3, True)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e9])
+@pytest.mark.parametrize("tile", [(512, 4_096), (7, 11)])
+def test_single_precision_loses_no_neighbour(monkeypatch, far, tile):
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    rng = np.random.default_rng(9)
+    x = far + np.vstack([rng.normal(size=(60, 5)), rng.integers(-2, 3, (60, 5)), 1e-4 * rng.normal(size=(40, 5)), [[50.0] * 5] * 3])
+    ids = rng.permutation(len(x)) * 3
+    best = neighbours.nearest(x[::2], ids[::2], x, ids, 4, True)
+    for i in range(len(x[::2])):
+        exact = ((x - x[2 * i]) ** 2).sum(1)
+        want = [j for j in np.lexsort((ids, exact)) if j != 2 * i][:4]
+        assert list(best.column[best.row == i]) == want
+
+
 def test_edges(spark):
     good = [(1, [0.0, 0.0], 1, 0.0), (2, [-0.0, 0.0], 2, 0.0), (3, [1.0, 0.0], 3, 0.0)]
     bad = [(4, None, 1, 0.0), (5, [], 1, 0.0), (6, [None, 1.0], 1, 0.0), (7, [float("nan"), 1.0], 1, 0.0), (8, [float("inf"), 0.0], 1, 0.0)]

@@ -4,8 +4,11 @@ Pivots from a bounded sample of the training rows cut both sides into cells, by
 training rows nearest to the pivots give every test cell a bound: k of them lie within their distance to
 their pivot, plus the way between the pivots, plus the radius of the cell. A training row is then sent
 only to cells whose pivot it is within bound plus radius of (triangle inequality), so on clustered data
-most cells never see most rows. What meets is cut into blocks of bounded size; a meeting keeps k rows per
-test row. Copies of a training vector beyond those that can be neighbours are dropped first, so a vector
+most cells never see most rows. Where that would send more than ``MOST_COPIES`` copies of a row on average,
+as on data spread evenly in many dimensions, all rows are one cell. What meets is cut into blocks: at most
+``MOST_BLOCKS`` a side, so that what is shuffled grows with the rows, until blocks reach ``BLOCK_BYTES``. A
+meeting goes by tiles in single precision, rechecks what its rounding leaves open in double precision, and
+keeps k rows per test row. Copies of a training vector beyond those that can be neighbours are dropped first, so a vector
 that a third of all rows share costs no more than any other.
 """
 
@@ -25,6 +28,10 @@ SAMPLE = 4_096  # training rows that pivots are chosen from
 MOST_PIVOTS = 512
 CELL_ROWS = 256  # training rows per cell that the number of pivots aims at
 SLACK = 1e-9  # of distances, for their rounding
+MOST_COPIES = 32  # of a row that the cells may ask for, on average
+MOST_BLOCKS = 12  # of a side of a cell, as long as they are small
+BLOCK_BYTES = 32 << 20  # of the vectors of a block
+TILE = 512, 4_096  # test and training rows of a tile
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,30 +105,95 @@ def reaches(pivots: np.ndarray, radius: np.ndarray, nearest: list[list[float]],
     return out
 
 
+def _wanted(pivots: np.ndarray, reach: np.ndarray):
+    """(target, n): how many of the rows each cell asks for."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                total += (distances(matrix(batch.slice(at, 2_048).column(0), pivots.shape[1]), pivots) <= reach).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(total)], ["target", "n"])
+
+    return work
+
+
+class Best:
+    """The k nearest training rows so far of a tile of test rows."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.row, self.column, self.gap, self.id = (np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
+        self.worst = np.full(n, np.inf)
+
+    def add(self, row: np.ndarray, column: np.ndarray, gap: np.ndarray, ids: np.ndarray) -> None:
+        row, column, gap, ids = (np.concatenate(x) for x in ((self.row, row), (self.column, column), (self.gap, gap), (self.id, ids)))
+        order = np.lexsort((ids, gap, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = order[place < self.k], row[place < self.k], place[place < self.k]
+        self.row, self.column, self.gap, self.id = row, column[order], gap[order], ids[order]
+        full = place == self.k - 1
+        self.worst[row[full]] = self.gap[full]
+
+
+def _own(own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal ids, by the second."""
+    order = np.argsort(ids, kind="stable")
+    low, high = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
+    n = high - low
+    row = np.repeat(np.arange(len(own)), n)
+    column = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order]
+
+
+def nearest(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, leave_one_out: bool) -> Best:
+    """The k rows of ``b`` nearest to each row of ``a``."""
+    best = Best(len(a), k)
+    same = _own(own, ids) if leave_one_out else (np.zeros(0, np.int64),) * 2
+    middle = b.mean(0)
+    from_middle = a - middle
+    square = (from_middle * from_middle).sum(1)
+    for at in range(0, len(b), TILE[1]):
+        part, cut = b[at : at + TILE[1]], slice(*np.searchsorted(same[1], [at, at + TILE[1]]))
+        # |a - b|^2 - |a|^2 by one product, of vectors no longer than 1
+        right = part - middle
+        other = (right * right).sum(1)
+        size = max(float(square.max()), float(other.max())) or 1.0
+        scale = 1.0 / np.sqrt(size) if 1e-300 < size < 1e300 else 1.0
+        left = np.hstack([-2.0 * scale * from_middle, np.ones((len(a), 1))])
+        right = np.hstack([scale * right, (other * scale * scale)[:, None]])
+        shift = 32.0 * a.shape[1] * np.finfo(float).eps * scale * max(float(np.abs(a).max()), float(np.abs(part).max()))
+        for kind in (np.float32, np.float64) if scale != 1.0 or size == 1.0 else (np.float64,):
+            gaps = left.astype(kind) @ right.astype(kind).T
+            gaps[same[0][cut], same[1][cut] - at] = np.inf
+            # its rounding: of the product, of its terms and of the shift to the middle
+            off = 4.0 * (a.shape[1] + 8) * float(np.finfo(kind).eps) * max(1.0, size * scale * scale) + shift
+            limit = (best.worst - square) * scale**2 + off
+            if k <= len(part) and not np.isfinite(limit).all():
+                some = np.partition(gaps[:, : max(k, TILE[1] // 4)], k - 1, axis=1)[:, k - 1]
+                limit = np.minimum(limit, some.astype(float) + 2.0 * off)
+            row, column = np.nonzero((gaps <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]) & (gaps < np.inf))
+            if len(row) <= 16 * (k + 4) * len(a):
+                break
+        for i in range(0, len(row), 1 << 16):
+            r, c = row[i : i + (1 << 16)], column[i : i + (1 << 16)]
+            exact = ((part[c] - a[r]) ** 2).sum(1)
+            near = exact <= best.worst[r]
+            best.add(r[near], c[near] + at, exact[near], ids[at + c[near]])
+    return best
+
+
 def _meet(k: int, leave_one_out: bool, width: int):
     def work(tests: pa.Table, trains: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], [], []]
         if len(tests) and len(trains):
-            b, ids, labels = matrix(trains["v"].combine_chunks(), width), trains["id"].to_numpy(), trains["label"]
-            own_ids = tests["id"].to_numpy()
-            a_all = matrix(tests["v"].combine_chunks(), width)
-            square = (b * b).sum(1)
-            for at in range(0, len(a_all), 256):
-                a, own = a_all[at : at + 256], own_ids[at : at + 256]
-                gaps = (a * a).sum(1)[:, None] + square - 2.0 * a @ b.T
-                if leave_one_out:
-                    gaps[own[:, None] == ids[None]] = np.inf
-                take = min(k, len(b))
-                # candidates by the fast form, with slack for its rounding; exact distances decide
-                worst = np.partition(gaps, take - 1, axis=1)[:, take - 1 : take]
-                scale = (a * a).sum(1)[:, None] + square.max()
-                row, column = np.nonzero((gaps <= worst + SLACK * (1.0 + scale)) & (gaps < np.inf))
-                exact = ((b[column] - a[row]) ** 2).sum(1)
-                order = np.lexsort((ids[column], exact, row))
-                row, column, exact = row[order], column[order], exact[order]
-                first = np.searchsorted(row, row)
-                best = np.arange(len(row)) - first < take
-                for out, values in zip(found, (own[row[best]], ids[column[best]], exact[best], column[best])):
+            b, ids = matrix(trains["v"].combine_chunks(), width), trains["id"].to_numpy()
+            a, own = matrix(tests["v"].combine_chunks(), width), tests["id"].to_numpy()
+            for at in range(0, len(a), TILE[0]):
+                best = nearest(a[at : at + TILE[0]], own[at : at + TILE[0]], b, ids, k, leave_one_out)
+                for out, values in zip(found, (own[at + best.row], best.id, best.gap, best.column)):
                     out.append(values)
         test, train, gap, column = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         label = trains["label"].take(pa.array(column.astype(np.int64))) if len(trains) else pa.chunked_array([pa.array([], pa.int64())])
@@ -169,13 +241,29 @@ class Join:
         for r in self.tests.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
             radius[r["cell"]], self.asked[r["cell"]] = r["far"], r["n"]
         reach = reaches(self.pivots, radius, nearest, need)
-        sent = trains.mapInArrow(_send(self.pivots, reach), "id long, label long, v array<double>, target int")
-        self.rows = checkpointed(sent)
-        self.sent = {r["target"]: r["n"] for r in self.rows.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wanted = trains.select("v").mapInArrow(_wanted(self.pivots, reach), "target int, n long")
+        self.sent = {r["target"]: r["n"] for r in wanted.groupBy("target").agg(F.sum("n").alias("n")).filter("n > 0").collect()}
+        asked = sum(self.asked.values())
+        if self._shipped() > MOST_COPIES * (asked + total):
+            self.pivots, self.asked, self.sent = self.pivots[:1], {0: asked}, {0: total}
+            self.tests = self.tests.withColumn("cell", F.lit(0))
+            self.rows = trains.withColumn("target", F.lit(0))
+        else:
+            self.rows = trains.mapInArrow(_send(self.pivots, reach), "id long, label long, v array<double>, target int")
+
+    def _parts(self, n: int) -> int:
+        """Blocks that so many rows of a side of a cell are cut into."""
+        most = max(1, BLOCK_BYTES // (8 * self.width))
+        return max(1, min(-(-n // self.block_rows), MOST_BLOCKS), -(-n // most))
+
+    def _shipped(self) -> int:
+        """Rows that meetings by cells take in all."""
+        cells = [(n, self.sent.get(i, 0)) for i, n in self.asked.items()]
+        return sum(n * self._parts(m) + m * self._parts(n) for n, m in cells)
 
     def _blocks(self, counts: dict[int, int]) -> Column:
         """Blocks of the row's cell, looked up among at most ``MOST_PIVOTS`` cells."""
-        return F.get(F.lit([max(1, -(-counts.get(i, 0) // self.block_rows)) for i in range(len(self.pivots))]), F.col("cell"))
+        return F.get(F.lit([self._parts(counts.get(i, 0)) for i in range(len(self.pivots))]), F.col("cell"))
 
     def result(self) -> DataFrame:
         def block(counts: dict[int, int]) -> Column:

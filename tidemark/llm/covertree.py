@@ -49,7 +49,10 @@ BAND_BYTES = 64 << 20  # most bytes of a band's vectors in double precision
 BANDS = 16  # bands at least, if there are as many vectors
 LEAF = 128
 ROWS = 512  # rows of a leaf compared at once
-CONE = 256  # least vectors of leaves that are met by cones
+CONE = 256  # least vectors of nodes that are met by cones
+FEW = 16_384  # pairs of nodes up to which all are compared in double precision
+AGAIN = 16_384  # coordinates that are met in the time that a comparison in double precision takes
+OPEN = 65_536  # pairs that are compared in the time that one more pair of nodes takes
 MANY = 1 / 256  # share of candidates above which all of a leaf is compared in double precision
 WIDEST = 2_048  # longest vectors for which leading directions are sought
 SLACK = 1e-7  # bounds leave this much to the exact comparison
@@ -80,18 +83,19 @@ def farthest_first(x: np.ndarray, most: int, within: float) -> list[int]:
 
 
 def basis_of(x: np.ndarray, threshold: float) -> np.ndarray | None:
-    """Leading directions of the sample, as few as their bound needs to tell its pairs apart; None: whole vectors meet."""
+    """Leading directions of the sample, as many as make its pairs cheapest to tell apart; None: whole vectors meet."""
     d = x.shape[1]
     if d > WIDEST:
         return None
     x = x[: SAMPLE // 4]
     by_energy = np.linalg.eigh(x.T @ x)[1][:, ::-1]
     apart = x @ x.T < threshold
-    for m in range(16, d // 4 * 3, 8):
+    best, cost = None, float(d)
+    for m in range(16, d, 8):
         s = sketch_of(x, by_energy[:, :m])
-        if (apart & (s @ s.T >= threshold)).mean() <= MANY / 8:
-            return np.ascontiguousarray(by_energy[:, :m])
-    return None
+        if (c := m + AGAIN * (apart & (s @ s.T >= threshold)).mean()) < cost:
+            best, cost = np.ascontiguousarray(by_energy[:, :m]), c
+    return best
 
 
 def sketch_of(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
@@ -189,11 +193,21 @@ def in_cone(x: np.ndarray, cone: tuple[np.ndarray, float], threshold: float) ->
     return x @ c >= (math.cos(wide) - SLACK if wide < math.pi else -np.inf)
 
 
+def places_of(maybe: np.ndarray, n: int) -> np.ndarray:
+    """Flat places of the n true ones; few are found faster by searching the bytes."""
+    if n > maybe.size // 1024:
+        return np.flatnonzero(maybe)
+    out, held, at = np.empty(n, np.int64), maybe.tobytes(), -1
+    for k in range(n):
+        out[k] = at = held.find(b"\x01", at + 1)
+    return out
+
+
 def close(a: Tree, p: int, b: Tree, q: int, threshold: float):
-    """Places of the linked pairs of two leaves, some rows at a time."""
+    """Places of the linked pairs of two nodes that are not opened, some rows at a time."""
     (s, e), (f, g) = a.range[p], b.range[q]
     rows, columns = np.arange(s, e), np.arange(f, g)
-    small = len(rows) * len(columns) <= CONE * CONE
+    small = len(rows) * len(columns) <= FEW
     if not small:
         if min(len(rows), len(columns)) >= CONE:
             rows, columns = rows[in_cone(a.x[s:e], b.cone(q), threshold)], columns[in_cone(b.x[f:g], a.cone(p), threshold)]
@@ -210,7 +224,7 @@ def close(a: Tree, p: int, b: Tree, q: int, threshold: float):
         if small or n > MANY * maybe.size:
             u, v = np.nonzero(a.x[own] @ b.x[columns].T >= threshold)
         else:
-            u, v = np.divmod(np.flatnonzero(maybe), len(columns))
+            u, v = np.divmod(places_of(maybe, n), len(columns))
             linked = np.einsum("ij,ij->i", a.x[own[u]], b.x[columns[v]]) >= threshold
             u, v = u[linked], v[linked]
         if len(u):
@@ -223,14 +237,21 @@ def traverse(a: Tree, b: Tree, threshold: float):
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
-        open_a = a.children[i] if a.children[i] and (a.r[i] >= b.r[j] or not b.children[j]) else [i]
-        open_b = b.children[j] if b.children[j] and open_a == [i] else [j]
+        open_a = a.children[i] if a.children[i] and (2 * a.r[i] >= b.r[j] or not b.children[j]) else [i]
+        open_b = b.children[j] if b.children[j] and (2 * b.r[j] >= a.r[i] or not a.children[i]) else [j]
+        below = (open_a != [i] or not a.children[i]) and (open_b != [j] or not b.children[j])
         d = distances(a.c[open_a], b.c[open_b])
         spread = a.r[open_a][:, None] + b.r[open_b][None]
         whole = d + spread <= reach - SLACK
+        near = (d <= reach + spread + SLACK) & ~whole
+        sizes = np.outer([a.range[k][1] - a.range[k][0] for k in open_a], [b.range[k][1] - b.range[k][0] for k in open_b])
+        if below and not whole.any() and (sizes[near] + OPEN).sum() >= sizes.sum():
+            for rows, columns in close(a, i, b, j, threshold):  # opening leaves out too little
+                yield "some", rows, columns
+            continue
         for u, v in zip(*np.nonzero(whole)):
             yield "all", open_a[u], open_b[v]
-        for u, v in zip(*np.nonzero((d <= reach + spread + SLACK) & ~whole)):
+        for u, v in zip(*np.nonzero(near)):
             p, q = open_a[u], open_b[v]
             if a.children[p] or b.children[q]:
                 todo.append((p, q))
@@ -342,11 +363,16 @@ def _build_band(block: int):
     return work
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there. Spark does not escape local paths."""
+    return (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+
+
 class Band:
     """The blocks of a band, read from the shared folder; their trees are unpacked when they are met."""
 
     def __init__(self, path: str, band: int, bases: dict[int, np.ndarray | None]):
-        where, at = fs.FileSystem.from_uri(path)
+        where, at = opened(path)
         self.rows = ds.dataset(f"{at}/band={band}", filesystem=where, format="parquet").to_table().to_pylist()
         self.bases = bases
         for row in self.rows:
@@ -495,7 +521,7 @@ def packed_cells(order: list[int], size: dict[int, int], most: int) -> tuple[np.
 def linked(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: vec_id, n_links, component_id, kept."""
     spark = df.sparkSession
-    kind = df.schema[vector].dataType
+    kind = df.select(vector).schema[0].dataType
     slim = "array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>"
     rows = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     # adding 0.0 makes the two zeros equal
